@@ -77,7 +77,7 @@ def net_flow_ranking(items: DataFrame, group: str, item: str, scores: list[str],
     wide = held.groupBy("g", "i").agg(
         *[F.max(F.when(F.col("k") == k, flow)).alias(f"f{k}") for k in range(len(scores))], F.count("value").alias("n_scores"))
     net = reduce(lambda a, b: a + b, [F.col(f"f{k}") * float(w) for k, w in enumerate(weights)]) / float(sum(weights))
-    return wide.select(F.col("g").alias(group), F.col("i").alias(item), F.round(net, 12).alias("net_flow"), "n_scores")
+    return wide.select(F.col("g").alias(group), F.col("i").alias(item), (F.round(net, 12) + F.lit(0.0)).alias("net_flow"), "n_scores")
 
 
 def best_item(ranked: DataFrame, group: str, item: str, least_items: int = 1) -> DataFrame:
