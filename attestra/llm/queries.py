@@ -37,6 +37,17 @@ def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(records(spark, sf_dir, "d", "c")).coverage()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_similar(spark, sf_dir).select("chunk_a", "chunk_b")
+
+
+def p2_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.neighbours import similar_pairs
+
+    pairs = similar_pairs(table(spark, sf_dir, "corpus_chunks"), "id", "embedding_json")
+    return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"), "cosine")
+
+
 def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "segment_matches").select("doc_id", "segment_index", "tfidf_score", "bm25_score", F.lit(1).alias("held"))
     b = table(spark, sf_dir, "chunk_analyses").select("doc_id", F.col("chunk_index").alias("segment_index"), "semantic_score", "rerank_score")
@@ -85,7 +96,7 @@ SELECT doc_id, min(other) AS group_id FROM reach GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p3_found, p3_ranking, p4_found)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p2_found, p2_similar, p3_found, p3_ranking, p4_found)}
 
 
 def oracle_sql() -> dict[str, str]:
