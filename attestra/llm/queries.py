@@ -76,6 +76,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(table(spark, sf_dir, "plagiarism_matches"), "source_document_id", "target_document_id", "doc_id")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.lookalike import same_looking_pairs
+
+    return same_looking_pairs(records(spark, sf_dir, "d", "s"))
+
+
+def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.lookalike import one_form
+
+    return one_form(records(spark, sf_dir, "d", "s"))
+
+
 P3_SQL = """
 WITH held AS (SELECT doc_id, segment_index, max(tfidf_score) AS a, max(bm25_score) AS b FROM segment_matches WHERE doc_id IS NOT NULL AND segment_index IS NOT NULL GROUP BY 1, 2),
  more AS (SELECT doc_id, chunk_index AS segment_index, max(semantic_score) AS c, max(rerank_score) AS d FROM chunk_analyses GROUP BY 1, 2),
@@ -96,7 +108,7 @@ SELECT doc_id, min(other) AS group_id FROM reach GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p2_found, p2_similar, p3_found, p3_ranking, p4_found)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p2_found, p2_similar, p3_found, p3_ranking, p4_found, p7_found, p7_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
