@@ -123,7 +123,7 @@ def same_look(texts: list[str]) -> list[str]:
     """One form for each text: equal for texts that look the same, different for others. One pass over all characters."""
     width, into, marks = compiled()
     codes = np.frombuffer("\x00".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
     n = width[codes]
     end = np.cumsum(n, dtype=np.int64)
     start = end - n
