@@ -76,6 +76,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(table(spark, sf_dir, "plagiarism_matches"), "source_document_id", "target_document_id", "doc_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_restored(spark, sf_dir).select("rec")
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.encoding import garbled
+
+    return garbled(records(spark, sf_dir, "d", "s"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestra.llm.lookalike import same_looking_pairs
 
@@ -108,7 +118,7 @@ SELECT doc_id, min(other) AS group_id FROM reach GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p2_found, p2_similar, p3_found, p3_ranking, p4_found, p7_found, p7_forms)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p2_found, p2_similar, p3_found, p3_ranking, p4_found, p5_found, p5_restored, p7_found, p7_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
