@@ -98,6 +98,55 @@ def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form(records(spark, sf_dir, "d", "s"))
 
 
+def _counted(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    from attestra.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", list(keep))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.packing import harmonic_packing
+
+    return harmonic_packing(_counted(spark, sf_dir), "doc_id", "n_tokens", table(spark, sf_dir, "pack_capacities"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and the share of unused space, by capacity."""
+    bins = p8_containers(spark, sf_dir).groupBy("capacity_id", "container").agg(F.first("unused").alias("unused"), F.sum("n_tokens").alias("used"))
+    total = F.sum("unused") + F.sum("used")
+    return bins.groupBy("capacity_id").agg(F.count("*").alias("containers"), F.sum("unused").alias("unused"), (F.sum("unused") / total).alias("unused_share"))
+
+
+def _curriculum(spark: SparkSession, sf_dir: str):
+    from attestra.llm.mixing import Curriculum
+
+    return Curriculum(_counted(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"), "doc_id")
+
+
+def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curriculum(spark, sf_dir).usage()
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curriculum(spark, sf_dir).shares()
+
+
+def p9_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curriculum(spark, sf_dir).order()
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.repetition import repetitive
+
+    return repetitive(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.repetition import repetition
+
+    return repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 P3_SQL = """
 WITH held AS (SELECT doc_id, segment_index, max(tfidf_score) AS a, max(bm25_score) AS b FROM segment_matches WHERE doc_id IS NOT NULL AND segment_index IS NOT NULL GROUP BY 1, 2),
  more AS (SELECT doc_id, chunk_index AS segment_index, max(semantic_score) AS c, max(rerank_score) AS d FROM chunk_analyses GROUP BY 1, 2),
@@ -118,7 +167,7 @@ SELECT doc_id, min(other) AS group_id FROM reach GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p2_found, p2_similar, p3_found, p3_ranking, p4_found, p5_found, p5_restored, p7_found, p7_forms)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p2_found, p2_similar, p3_found, p3_ranking, p4_found, p5_found, p5_restored, p7_found, p7_forms, p8_containers, p8_fill, p9_usage, p9_shares, p9_order, p10_found, p10_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
