@@ -86,6 +86,18 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled(records(spark, sf_dir, "d", "s"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.scans import scanned
+
+    return scanned(records(spark, sf_dir, "d", "s"), repaired=False).select("rec")
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.scans import scanned
+
+    return scanned(records(spark, sf_dir, "d", "s"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestra.llm.lookalike import same_looking_pairs
 
@@ -167,7 +179,7 @@ SELECT doc_id, min(other) AS group_id FROM reach GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p2_found, p2_similar, p3_found, p3_ranking, p4_found, p5_found, p5_restored, p7_found, p7_forms, p8_containers, p8_fill, p9_usage, p9_shares, p9_order, p10_found, p10_repetition)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p2_found, p2_similar, p3_found, p3_ranking, p4_found, p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_forms, p8_containers, p8_fill, p9_usage, p9_shares, p9_order, p10_found, p10_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
