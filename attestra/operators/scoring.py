@@ -39,7 +39,7 @@ def roll_up(decided: DataFrame, by: str) -> DataFrame:
     found = percent(F.col("copies") + F.col("deeps"), F.col("total"))
     return n.select(
         by, "total", percent(F.col("copies"), F.col("total")).alias("copy_percent"), percent(F.col("deeps"), F.col("total")).alias("deep_borrow_percent"),
-        found.alias("plagiarism_percent"), F.bround(F.coalesce(F.col("ai_mean") * 100, F.lit(0.0)), 2).alias("ai_percent"),
+        found.alias("plagiarism_percent"), F.round(F.coalesce(F.col("ai_mean") * 100, F.lit(0.0)), 6).alias("ai_percent"),
         F.bround(F.greatest(F.lit(0.0), 100 - found), 2).alias("originality_percent"), band(found, PERCENT_BANDS).alias("risk_level"))
 
 
