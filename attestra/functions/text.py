@@ -21,6 +21,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"^(?U:\s)+", ""), r"(?U:\s)+$", "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(c: Column | str) -> Column:
     """Lower-case runs of letters, digits and underscores, repeats kept; null gives null."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), 0)
@@ -34,12 +39,17 @@ def word_count(c: Column | str) -> Column:
 def segments(c: Column | str, least: int = 20) -> Column:
     """Paragraphs of at least `least` characters, if there is more than one paragraph; otherwise sentences of that
     length, or the whole text if no sentence is. Blank and null texts have none."""
-    whole = strip(F.coalesce(c, F.lit("")))
-    paragraphs = F.filter(F.transform(F.split(whole, r"\n(?U:\s)*\n"), strip), lambda p: p != "")
     long = lambda parts: F.filter(parts, lambda s: F.length(s) >= least)
-    sentences = long(F.transform(F.split(whole, r"(?<=[.!?…])(?U:\s)+"), strip))
-    one = F.when(F.size(sentences) > 0, sentences).otherwise(F.array(whole))
-    return F.when(whole == "", F.array().cast("array<string>")).when(F.size(paragraphs) > 1, long(paragraphs)).otherwise(one)
+
+    def sentences(whole: Column) -> Column:
+        parts = long(F.transform(F.split(whole, r"(?<=[.!?…])(?U:\s)+"), strip))
+        return let(parts, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(whole)))
+
+    def cut(whole: Column) -> Column:
+        paragraphs = F.filter(F.transform(F.split(whole, r"\n(?U:\s)*\n"), strip), lambda p: p != "")
+        return let(paragraphs, lambda x: F.when(F.size(x) > 1, long(x)).otherwise(sentences(whole)))
+
+    return let(strip(F.coalesce(c, F.lit(""))), lambda w: F.when(w == "", F.array().cast("array<string>")).otherwise(cut(w)))
 
 
 def clamp(c: Column) -> Column:
