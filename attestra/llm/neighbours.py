@@ -142,7 +142,7 @@ def _split(cells: np.ndarray, weight: np.ndarray, own: np.ndarray, parts: int, f
 
 
 def _route(model, dimensions: int):
-    """Each vector to the block of its cell (cells: null), and as a query to every block with a cell it looks into."""
+    """Each vector to every block with a cell it looks into; in the block of its own cell (home) it is also searched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = model.value
@@ -162,13 +162,11 @@ def _route(model, dimensions: int):
                 start = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (flat[1:] != flat[:-1])])
                 lists = np.split(looked.astype(np.uint16), start[1:])
                 rows, flat = rows[start], flat[start]
-                for index, block, cell, looks in (
-                    (np.arange(len(x)), q.block[home], home, [None] * len(x)),
-                    (rows, flat, home[rows], [z.tobytes() for z in lists]),
-                ):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(block, pa.int32()), ids.take(pa.array(index)), raw.take(pa.array(index)), pa.array(cell, pa.int32()), pa.array(looks, pa.binary())],
-                        ["block", "id", "vec", "cell", "looks"])
+                lists = pa.array([z.tobytes() for z in lists], pa.binary())
+                index = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat, pa.int32()), ids.take(index), raw.take(index), part.column(2).take(index), pa.array(home[rows], pa.int32()), lists, pa.array(flat == q.block[home[rows]])],
+                    ["block", "id", "vec", "copies", "cell", "looks", "home"])
 
     return run
 
@@ -176,22 +174,21 @@ def _route(model, dimensions: int):
 def _search(model, dimensions: int, k: int):
     def run(rows: pa.Table) -> pa.Table:
         q = model.value
-        isdata = rows.column("looks").is_null().to_numpy()
+        isdata = rows.column("home").to_numpy(zero_copy_only=False)
         ids = rows.column("id").to_numpy()
         x = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.float32).reshape(-1, dimensions)
         cell = rows.column("cell").to_numpy()
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["q", "c", "cos"])
+        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], ["q", "c", "cos", "copies"])
         if not isdata.any():
             return empty
         order = np.flatnonzero(isdata)
         order = order[np.argsort(cell[order], kind="stable")]
-        dx, dids, dcell = x[order], ids[order], cell[order]
+        dx, dids, dcell, copies = x[order], ids[order], cell[order], rows.column("copies").to_numpy()[order]
         parts = [q.encode(dx[a : a + 2048], dcell[a : a + 2048]) for a in range(0, len(dx), 2048)]
         codes, half = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         held, at = np.unique(dcell, return_index=True)
         edge = np.append(at, len(dcell))
-        asked = np.flatnonzero(~isdata)
-        asked = asked[np.argsort(cell[asked], kind="stable")]  # queries of a cell look into much the same cells
+        asked = np.argsort(cell, kind="stable")  # queries of a cell look into much the same cells
         looks = rows.column("looks").take(pa.array(asked)).to_pylist()
         qids, qx = ids[asked], x[asked]
         place = np.full(len(q.cells), -1)
@@ -230,10 +227,10 @@ def _search(model, dimensions: int, k: int):
             last = np.minimum(first + k - 1, np.searchsorted(w, np.arange(z - a), side="right") - 1)
             fifth = np.where(last >= first, cos[np.clip(last, 0, max(0, len(cos) - 1))] if len(cos) else 0, 2)
             keep = cos >= fifth[w] - TIE
-            outs.append((qids[a:z][w[keep]], dids[c[keep]], cos[keep]))
+            outs.append((qids[a:z][w[keep]], dids[c[keep]], cos[keep], copies[c[keep]]))
         if not outs:
             return empty
-        return pa.table([pa.array(np.concatenate(o)) for o in zip(*outs)], ["q", "c", "cos"])
+        return pa.table([pa.array(np.concatenate(o)) for o in zip(*outs)], ["q", "c", "cos", "copies"])
 
     return run
 
@@ -262,11 +259,10 @@ def similar_pairs(raw: DataFrame, id: str, text: str, dimensions: int = 64, k: i
     if not sample:
         return spark.createDataFrame([], "a long, b long, cosine double")
     model = spark.sparkContext.broadcast(Quantiser.fit(np.frombuffer(b"".join(sample), np.float32).reshape(-1, dimensions), total))
-    routed = points.select("id", "vec").mapInArrow(_route(model, dimensions), "block int, id long, vec binary, cell int, looks binary")
-    near = routed.groupBy("block").applyInArrow(_search(model, dimensions, k), "q long, c long, cos double")
-    near = near.join(points.select(F.col("id").alias("c"), "copies"), "c")
+    routed = points.select("id", "vec", "copies").mapInArrow(_route(model, dimensions), "block int, id long, vec binary, copies long, cell int, looks binary, home boolean")
+    near = routed.groupBy("block").applyInArrow(_search(model, dimensions, k), "q long, c long, cos double, copies long")
     own = points.where("copies > 1").select(F.col("id").alias("q"), F.col("id").alias("c"), F.lit(1.0).alias("cos"), (F.col("copies") - 1).alias("copies"))
-    near = near.select("q", "c", "cos", "copies").unionByName(own)
+    near = near.unionByName(own)
     by = Window.partitionBy("q").orderBy(F.desc("cos"), "c").rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("above", F.coalesce(F.sum("copies").over(by), F.lit(0)))
     least = F.min(F.when(F.col("above") < k, F.col("cos"))).over(Window.partitionBy("q"))
