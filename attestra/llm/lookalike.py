@@ -61,6 +61,8 @@ Z Ζ
 """
 #: Letters above whose shapes differ too much to count as the same look in running text.
 NOT_ALIKE = set("ӏlԁdһhԀDιЗƷ")
+#: Characters that stand for several letters side by side: ligatures, Roman numerals, digraphs (first and last code point).
+JOINED = ((0xFB00, 0xFB06), (0x2160, 0x217F), (0x0132, 0x0133), (0x01C7, 0x01CC))
 #: Hyphens that differ only in whether a line may break after them.
 HYPHENS = {"\u2010": "-", "\u2011": "-"}
 
@@ -99,7 +101,7 @@ def compiled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             continue
         marks[code] = unicodedata.combining(c)
         form = unicodedata.decomposition(c)
-        if form.startswith(("<wide>", "<narrow>")):
+        if form.startswith(("<wide>", "<narrow>")) or any(a <= code <= z for a, z in JOINED):
             c = unicodedata.normalize("NFKC", c)
         if kind == "Cf" or 0xFE00 <= code <= 0xFE0F or code == 0x34F:
             out = ""
@@ -114,6 +116,7 @@ def compiled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         into[0, ord(c)] = ord(one)
     used = np.unique(into[0][width > 0])
     again = used[used < 0x30000]
+    # joined characters were taken apart by now, so their letters are outputs of their own
     if ((width[again] != 1) | (into[0][again] != again)).any():
         raise ValueError("an output would change again")
     return width, into, marks

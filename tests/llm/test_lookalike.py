@@ -19,6 +19,11 @@ def test_same_looks():
     assert {readable(f) for f in forms} == {BASE}
 
 
+def test_ligatures():
+    assert same_look(["ﬁnal eﬃcient work\ufb02ow Ⅳ"]) == same_look(["final efficient workflow IV"])
+    assert len(set(same_look(["x²", "x2", "½", "1/2"]))) == 4
+
+
 def test_other_letters_accents_cases_digits_differ():
     others = [BASE.replace("ё", "е"), BASE.lower(), BASE.replace("5", "6"), BASE.replace("é", "e"), BASE + "!", BASE.replace("код", "кот")]
     forms = same_look([BASE, *others])
