@@ -20,7 +20,7 @@ def _plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     plan = plan.withColumn("usable", (F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0))
     whole = Window.partitionBy(F.lit(0))  # a row a source: the targets table
     plan = plan.withColumn("weight", F.when(F.col("usable"), F.col("target_share")).otherwise(0.0))
-    plan = plan.withColumn("weight", F.col("weight") / F.sum("weight").over(whole))
+    plan = plan.withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), F.sum("weight").over(whole)), F.lit(0.0)))
     # the largest total at which no source is needed more often than it may be
     most = F.min(F.when(F.col("usable"), F.col("available") * F.col("max_repeats") / F.col("weight"))).over(whole)
     plan = plan.withColumn("total", F.floor(most)).withColumn("demand", F.coalesce(F.floor(F.col("total") * F.col("weight")), F.lit(0)))
@@ -30,7 +30,7 @@ def _plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     late = F.sum(F.when(F.col("up"), F.col("weight"))).over(whole)
     early = F.sum(F.when(~F.col("up"), F.col("weight"))).over(whole)
     less = F.least(late, early)
-    tilt = F.when(F.col("up"), -TILT * less / late).otherwise(TILT * less / early)
+    tilt = F.when(F.col("up"), F.try_divide(-TILT * less, late)).otherwise(F.try_divide(TILT * less, early))
     return plan.withColumn("tilt", F.coalesce(tilt, F.lit(0.0)))
 
 
