@@ -148,6 +148,9 @@ class Speller:
 
 _NUMBER = re.compile(r"^[\[(\-–—.\s]*(\d{1,4})[\])\-–—.\s]*$")
 _HEADED = re.compile(r"^\s*\d{1,4}\s*[|•·]\s*\S|\S\s*[|•·]\s*\d{1,4}\s*$")
+#: A page word and a number alone in their line; the abbreviations may also be a citation that wrapped.
+_LABELLED = re.compile(r"^(?![^\[(]*[\])])[\[(\-–—\s]*(страница|стр|с|сторінка|стор|page|p|pg|seite|s)\b\.?[ \t]*(\d{1,4})[\])\-–—.\s]*$", re.I)
+_CITED = re.compile(r"[\[(,;][ \t]*$")
 _END = re.compile(r"[.!?…:;][\"'»”’)\]]*\s*$")
 _EXTRACTOR = re.compile(r"^\s*---\s*\S+\s+\d+\s*---\s*$")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_] ){4,}[^\W\d_](?![^\W\d_])")
@@ -157,18 +160,23 @@ _BROKEN = re.compile(rf"[^\W\d_][{HYPHENS}][ \t]*\n\s*[^\W\d_]")
 def page_lines(lines: list[str]) -> tuple[set[int], int]:
     """The lines that are page numbers or running headers, and how many surely stand within the text.
 
-    A number alone in its line, a header with a number, and the short line beside either are candidates. They surely stand within the
-    text where the sentence goes on after them, where a page break is, where numbers are decorated, or where they count up.
+    A number alone in its line, also after a page word, a header with a number, and the short line beside either are candidates. They
+    surely stand within the text where the sentence goes on after them, where a page break is, where numbers are decorated or labelled,
+    or where they count up. A short line that comes again, each time where a sentence goes on over it, is a header without a number.
     """
     number = {i: int(m.group(1)) for i, x in enumerate(lines) if (m := _NUMBER.match(x.replace("\f", "")))}
     headed = {i for i, x in enumerate(lines) if _HEADED.search(x.replace("\f", "")) and len(x) < 90}
     breaks = {i for i, x in enumerate(lines) if "\f" in x}
+    labelled = {i: m for i, x in enumerate(lines) if len(x) < 40 and (m := _LABELLED.match(x.replace("\f", ""))) and not _EXTRACTOR.match(x)}
+    labelled = {i: m for i, m in labelled.items() if len(m.group(1)) > 2 or not (i and _CITED.search(lines[i - 1]))}
+    number.update((i, int(m.group(2))) for i, m in labelled.items())
+    again = _repeated_headers(lines)
     if not (number or headed or breaks):
-        return set(), 0
+        return again, len(again)
     values = {*number.values(), *(int(re.search(r"\d+", lines[i]).group()) for i in headed)}
     repeats = Counter(x.strip().lower() for x in lines if 0 < len(x.strip()) <= 80)
-    out: set[int] = set()
-    sure = 0
+    out: set[int] = set(again)
+    sure = len(again)
     text = [i for i, x in enumerate(lines) if x.strip()]
     place = {i: k for k, i in enumerate(text)}
     for i in sorted(set(number) | headed | breaks):
@@ -206,13 +214,30 @@ def page_lines(lines: list[str]) -> tuple[set[int], int]:
         decorated = i in number and lines[i].strip("\f \t")[:1] in "[(-–—"
         counts = i in number and number[i] < 1000 and (number[i] + 1 in values or number[i] - 1 in values)
         broken = "\f" in lines[i] or (i + 1 < len(lines) and "\f" in lines[i + 1])
-        listed = i in headed or counts
+        named = i in labelled and (len(labelled[i].group(1)) > 2 or labelled[i].group(1).isupper())
+        listed = i in headed or counts or named
         if inside or broken or decorated or (listed and k > 0):
             sure += 1
             out |= set(group)
     return out, sure
 
 
+def _repeated_headers(lines: list[str]) -> set[int]:
+    """Short lines that come again in the text, each time between other lines whose sentence goes on over them."""
+    text = [i for i, x in enumerate(lines) if x.strip()]
+    places: dict[str, list[int]] = {}
+    for k in range(1, len(text) - 1):
+        x = lines[text[k]].strip()
+        if len(x) <= 80 and x[0].isupper() and not _END.search(x) and x[-1] not in HYPHENS and len(x.split()) <= 8 and _goes_on(lines, text, k - 1, k + 1):
+            places.setdefault(x.lower(), []).append(k)
+    out: set[int] = set()
+    for at in places.values():
+        # a text that repeats its own wording has the same lines around them
+        if len(at) > 1 and all(len({lines[text[k + d]].strip() for k in at}) == len(at) for d in (-1, 1)):
+            out |= {text[k] for k in at}
+    return out
+
+
 def _goes_on(lines: list[str], text: list[int], before: int, after: int) -> bool:
     """Whether a sentence goes on from one line to another."""
     if before < 0 or after >= len(text):
@@ -224,7 +249,7 @@ def _goes_on(lines: list[str], text: list[int], before: int, after: int) -> bool
 def is_scan(text: str, speller: Speller) -> bool:
     """Whether a text has words broken across lines, page numbers or running headers within it, or misread characters."""
     lines = text.split("\n")
-    if any(c.isdigit() or c == "\f" for c in text) and page_lines(lines)[1]:
+    if len(lines) > 1 and page_lines(lines)[1]:
         return True
     broken = _BROKEN.findall(text)
     if len(broken) >= 2:

@@ -96,3 +96,16 @@ def test_records(spark):
     counts = {r["word"]: r["n"] for r in document_words(df).collect()}
     assert counts["система"] == sum("система" in {w.strip(".").lower() for w in (t or "").split()} for _, t in rows)
     assert scanned(df.where("rec = 'x'")).count() == 0
+
+
+def test_labelled_and_repeated_headers():
+    s = speller()
+    for label in ("Стр. 29", "Page 59", "Сторінка 7", "[Seite 3]"):
+        lines = ["система определяет", label, "Научный Журнал", "результат анализа.", "Модель влияет."]
+        assert page_lines(lines) == ({1, 2}, 1) and is_scan("\n".join(lines), s)
+        assert repair("\n".join(lines), s).startswith("система определяет результат анализа.")
+    repeated = "система модель\nНаучный Журнал\nметод анализа. Общество и\nНаучный Журнал\nкультура."
+    assert is_scan(repeated, s) and "Журнал" not in repair(repeated, s)
+    copied = "система модель\nНаучный Журнал\nметод анализа.\n" * 3
+    for text in (copied, "система [65,\nс. 233].\nМодель влияет.", "система [65,\nс. 233\nмодель].", "модель.\n--- Страница 2 ---\nСистема."):
+        assert not is_scan(text, s), text
