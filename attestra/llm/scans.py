@@ -45,13 +45,15 @@ l| ы
 #: A word is known if it stands in at least LEAST_DOCS texts and in LEAST_PART of all; so at most (distinct words per
 #: text / LEAST_PART) words are known, however many texts there are. Beyond MOST_WORDS the rarest are left out.
 LEAST_DOCS, LEAST_PART, MOST_WORDS = 3, 1 / 2000, 500_000
-#: Letter confusions, without a digit or sign inside a word, that make a text a scan.
-LEAST_CONFUSED = 1
+#: In how many times the texts that make a word known a word must stand before one that is a letter off counts as its misreading.
 LEAST_COMMON = 5
+#: Nats by which a corrected or joined word must cost less than what stood there to make a text a scan.
+LEAST_GAIN = 4.0
 HYPHENS = "-¬­‐"
 _EDGES = " \t.,;:!?…()[]{}«»„“”\"'‘’–—-¬­/|*•·"
 _DIGIT = re.compile(r"[0-9|]")
 _LETTERS = re.compile(r"[^\W\d_]")
+_INSIDE = re.compile(r"[^\W\d_][0-9|]+[^\W\d_]")
 
 TABLE: dict[str, list[str]] = {}
 for _line in CONFUSIONS.strip().split("\n"):
@@ -91,6 +93,7 @@ class Speller:
         #: A word must stand in so many texts before one that is a letter off counts as its misreading; names don't.
         self.common = LEAST_COMMON * min(known.values(), default=1)
         self.remembered: dict[str, tuple[float, str]] = {}
+        self.kept: dict[str, bool] = {}
 
     def variants(self, word: str, changes: int = 2) -> list[tuple[str, int]]:
         """Words that `word` may be a misreading of, with the number of changes; every digit or sign in it is changed."""
@@ -127,14 +130,32 @@ class Speller:
             if n:
                 got = (math.log(self.total / n), word)
             else:
-                inside = bool(re.search(r"[^\W\d_][0-9|]+[^\W\d_]", word))
-                got = (16.0 + 0.4 * len(word) + 8.0 * inside, word)
+                got = (self.left(word), word)
                 if len(word) >= 4:
                     for v, k in self.variants(word):
                         got = min(got, (math.log(self.total / self.known[v]) + 3.5 * k, v))
             self.remembered[word] = got
         return got
 
+    def left(self, token: str) -> float:
+        """Cost of a token left as it is."""
+        word = core(token)
+        if not word or not _LETTERS.search(word):
+            return 3.0
+        n = self.known.get(word)
+        return math.log(self.total / n) if n else 16.0 + 0.4 * len(word) + 8.0 * bool(_INSIDE.search(word))
+
+    def plain(self, token: str) -> bool:
+        """Whether a token without a hyphen at its end can only be kept: a known word, or marks alone."""
+        got = self.kept.get(token)
+        if got is None:
+            if len(self.kept) > 300_000:
+                self.kept.clear()
+            word = core(token)
+            got = self.kept[token] = (word in self.known and not (len(word) == 1 and token.isalpha())) or (
+                not _LETTERS.search(word) and not (word and token[-1:].isalnum()))
+        return got
+
     def misread(self, token: str) -> int:
         """2 if a word with a digit or sign in it has a known reading, 1 if only letters changed, 0 if it is no misreading."""
         word = core(token)
@@ -153,8 +174,6 @@ _LABELLED = re.compile(r"^(?![^\[(]*[\])])[\[(\-–—\s]*(страница|ст
 _CITED = re.compile(r"[\[(,;][ \t]*$")
 _END = re.compile(r"[.!?…:;][\"'»”’)\]]*\s*$")
 _EXTRACTOR = re.compile(r"^\s*---\s*\S+\s+\d+\s*---\s*$")
-_SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_] ){4,}[^\W\d_](?![^\W\d_])")
-_BROKEN = re.compile(rf"[^\W\d_][{HYPHENS}][ \t]*\n\s*[^\W\d_]")
 
 
 def page_lines(lines: list[str]) -> tuple[set[int], int]:
@@ -246,33 +265,6 @@ def _goes_on(lines: list[str], text: list[int], before: int, after: int) -> bool
     return not _END.search(a) and z[:1].islower()
 
 
-def is_scan(text: str, speller: Speller) -> bool:
-    """Whether a text has words broken across lines, page numbers or running headers within it, or misread characters."""
-    lines = text.split("\n")
-    if len(lines) > 1 and page_lines(lines)[1]:
-        return True
-    broken = _BROKEN.findall(text)
-    if len(broken) >= 2:
-        return True
-    if broken:
-        for a, z in zip(lines, [x for x in lines[1:]]):
-            a = a.rstrip()
-            if a and a[-1] in HYPHENS and z.strip():
-                joined = core(a.split()[-1].rstrip(HYPHENS) + z.split()[0])
-                if speller.known.get(joined) or speller.cost(joined)[0] < 16:
-                    return True
-    if _SPACED.search(text) and any(speller.known.get(m.group().replace(" ", "").lower()) for m in _SPACED.finditer(text)):
-        return True
-    confused: set[str] = set()
-    for w in set(text.split()):
-        kind = speller.misread(w)
-        if kind == 2:
-            return True
-        if kind:
-            confused.add(core(w))
-    return len(confused) >= LEAST_CONFUSED
-
-
 def _recase(token: str, reading: str) -> str:
     """The token with its word replaced, marks and capitals kept."""
     bare = token.strip(_EDGES)
@@ -287,55 +279,85 @@ def _recase(token: str, reading: str) -> str:
     return token[:at] + reading + token[at + len(bare) :]
 
 
-def decode_words(tokens: list[str], hyphen: list[bool], speller: Speller) -> list[tuple[int, str]]:
-    """The cheapest reading of a stream of tokens: (number of its first token, word) each.
+def decode_steps(tokens: list[str], hyphen: list[bool], speller: Speller) -> list[tuple[int, int, list[str], float]]:
+    """The cheapest reading of a stream of tokens: (first token, token after the last, words, gain) each.
 
     A reading keeps a token, replaces misread characters in it, joins it with the next ones (across a hyphen at a line's end, or
-    where a blank was put in), or splits it in two. hyphen tells which tokens ended a line with a hyphen.
+    where a blank was put in), or splits it in two. hyphen tells which tokens ended a line with a hyphen. gain is what the step
+    costs less than its tokens left as they are. A token that can only be kept, with no step over it, cuts the stream: only
+    what lies between cuts is searched, with the same result.
     """
     n = len(tokens)
-    best: list[tuple[float, int, list[str]]] = [(0.0, 0, [])] + [(math.inf, 0, [])] * n
+    out: list[tuple[int, int, list[str], float]] = []
+    i = 0
+    while i < n:
+        if not hyphen[i] and speller.plain(tokens[i]):
+            out.append((i, i + 1, [tokens[i]], 0.0))
+            i += 1
+            continue
+        # best[k]: cheapest way to the token i + k; the stretch ends where no step leads further
+        best: list[tuple[float, int, list[str], float]] = [(0.0, i, [], 0.0)]
+
+        def offer(a: int, z: int, cost: float, words: list[str]) -> None:
+            while len(best) <= z - i:
+                best.append((math.inf, i, [], 0.0))
+            if best[a - i][0] + cost < best[z - i][0]:
+                left = 0.0 if words == tokens[a:z] else sum(speller.left(t) for t in tokens[a:z])
+                best[z - i] = (best[a - i][0] + cost, a, words, left - cost if left else 0.0)
+
+        at = i
+        while at == i or at - i < len(best) - 1:
+            _offers(tokens, hyphen, speller, at, offer)
+            at += 1
+        steps = []
+        z = at
+        while z > i:
+            _, a, words, gain = best[z - i]
+            steps.append((a, z, words, gain))
+            z = a
+        out += steps[::-1]
+        i = at
+    return out
 
-    def offer(i: int, j: int, cost: float, words: list[str]) -> None:
-        if best[i][0] + cost < best[j][0]:
-            best[j] = (best[i][0] + cost, i, words)
 
-    for i in range(n):
-        token = tokens[i]
-        word = core(token)
-        cost, reading = speller.cost(word)
-        offer(i, i + 1, cost, [_recase(token, reading)])
-        if hyphen[i] and i + 1 < n:
-            joined = token.rstrip(HYPHENS) + tokens[i + 1]
-            c, r = speller.cost(core(joined))
-            offer(i, i + 2, c + 0.5, [_recase(joined, r)])
-            if i + 2 < n and hyphen[i + 1]:
-                longer = joined.rstrip(HYPHENS) + tokens[i + 2]
-                c, r = speller.cost(core(longer))
-                offer(i, i + 3, c + 1.0, [_recase(longer, r)])
-        elif i + 1 < n and word and word not in speller.known and token[-1:].isalnum() and tokens[i + 1][:1].isalnum():
-            c, r = speller.cost(core(token + tokens[i + 1]))
+def _offers(tokens: list[str], hyphen: list[bool], speller: Speller, i: int, offer) -> None:
+    """Every step that begins with the i-th token."""
+    n = len(tokens)
+    token = tokens[i]
+    word = core(token)
+    cost, reading = speller.cost(word)
+    offer(i, i + 1, cost, [_recase(token, reading)])
+    if hyphen[i] and i + 1 < n:
+        joined = token.rstrip(HYPHENS) + tokens[i + 1]
+        c, r = speller.cost(core(joined))
+        offer(i, i + 2, c + 0.5, [_recase(joined, r)])
+        if i + 2 < n and hyphen[i + 1]:
+            longer = joined.rstrip(HYPHENS) + tokens[i + 2]
+            c, r = speller.cost(core(longer))
+            offer(i, i + 3, c + 1.0, [_recase(longer, r)])
+    elif i + 1 < n and word and word not in speller.known and token[-1:].isalnum() and tokens[i + 1][:1].isalnum():
+        c, r = speller.cost(core(token + tokens[i + 1]))
+        if r in speller.known:  # two unknown words are no more likely one
             offer(i, i + 2, c + 6.0, [_recase(token + tokens[i + 1], r)])
-        if len(word) == 1 and token.isalpha():
-            j, joined = i, ""
-            while j < n and len(core(tokens[j])) == 1 and core(tokens[j]).isalpha():
-                joined += tokens[j]
-                j += 1
-                if j - i >= 4:
-                    c, r = speller.cost(core(joined))
+    if len(word) == 1 and token.isalpha():
+        j, joined = i, ""
+        while j < n and len(core(tokens[j])) == 1 and core(tokens[j]).isalpha():
+            joined += tokens[j]
+            j += 1
+            if j - i >= 4:
+                c, r = speller.cost(core(joined))
+                if r in speller.known:
                     offer(i, j, c + 2.0, [_recase(joined, r)])
-        if len(word) >= 8 and word not in speller.known and word.isalpha():
-            for k in range(3, len(word) - 2):
-                if word[:k] in speller.known and word[k:] in speller.known:
-                    at = token.lower().find(word) + k
-                    offer(i, i + 1, speller.cost(word[:k])[0] + speller.cost(word[k:])[0] + 5.0, [token[:at], token[at:]])
-    out: list[tuple[int, str]] = []
-    j = n
-    while j:
-        _, i, words = best[j]
-        out[:0] = [(i, w) for w in words]
-        j = i
-    return out
+    if len(word) >= 8 and word not in speller.known and word.isalpha():
+        for k in range(3, len(word) - 2):
+            if word[:k] in speller.known and word[k:] in speller.known:
+                at = token.lower().find(word) + k
+                offer(i, i + 1, speller.cost(word[:k])[0] + speller.cost(word[k:])[0] + 5.0, [token[:at], token[at:]])
+
+
+def decode_words(tokens: list[str], hyphen: list[bool], speller: Speller) -> list[tuple[int, str]]:
+    """The words of the cheapest reading: (number of the first token, word) each."""
+    return [(a, w) for a, _, words, _ in decode_steps(tokens, hyphen, speller) for w in words]
 
 
 def paragraph_breaks(lines: list[str], blank: list[bool]) -> list[bool]:
@@ -367,10 +389,15 @@ def paragraph_breaks(lines: list[str], blank: list[bool]) -> list[bool]:
     return out
 
 
-def repair(text: str, speller: Speller) -> str:
-    """Continuous paragraphs of clean words."""
+def read(text: str, speller: Speller) -> tuple[bool, str]:
+    """Whether decoding took noise of scanning out of a text, and its continuous paragraphs of clean words.
+
+    Noise is a page line surely within the text, or a word that was corrected or joined and costs at least LEAST_GAIN less than
+    what stood there. Where the joined word is unknown, two words broken by hyphens at lines' ends are needed.
+    """
     lines = text.split("\n")
-    noise = page_lines(lines)[0] | {i for i, x in enumerate(lines) if _EXTRACTOR.match(x)}
+    pages, sure = page_lines(lines)
+    noise = pages | {i for i, x in enumerate(lines) if _EXTRACTOR.match(x)}
     kept: list[str] = []
     blank: list[bool] = []
     empty = False
@@ -385,7 +412,7 @@ def repair(text: str, speller: Speller) -> str:
         blank.append(empty)
         empty = False
     if not kept:
-        return ""
+        return sure > 0, ""
     starts = paragraph_breaks(kept, blank)
     tokens: list[str] = []
     hyphen: list[bool] = []
@@ -400,11 +427,34 @@ def repair(text: str, speller: Speller) -> str:
             tokens.append(w)
             hyphen.append(last and len(w) > 1 and w[-1] in HYPHENS and w[-2].isalnum())
     paragraphs: list[list[str]] = [[]]
-    for at, word in decode_words(tokens, hyphen, speller):
+    found, broken = sure > 0, 0
+    for at, z, words, gain in decode_steps(tokens, hyphen, speller):
+        if not found and gain >= LEAST_GAIN:
+            broken += hyphen[at]
+            found = broken > 1 or _is_noise(tokens[at:z], words, hyphen[at], speller)
         if at in first and paragraphs[-1]:
             paragraphs.append([])
-        paragraphs[-1].append(word)
-    return "\n\n".join(" ".join(p) for p in paragraphs)
+        paragraphs[-1] += words
+    return found, "\n\n".join(" ".join(p) for p in paragraphs)
+
+
+def _is_noise(tokens: list[str], words: list[str], broken: bool, speller: Speller) -> bool:
+    """Whether tokens read otherwise than they stand surely show noise. Words run together are split, but are no sign of a scan."""
+    if len(words) > 1:
+        return False
+    if len(tokens) == 1:
+        return speller.misread(tokens[0]) > 0
+    return speller.known.get(core(words[0]), 0) >= (1 if broken else speller.common)
+
+
+def is_scan(text: str, speller: Speller) -> bool:
+    """Whether decoding takes words broken across lines, page numbers or running headers within it, or misread characters out of a text."""
+    return read(text, speller)[0]
+
+
+def repair(text: str, speller: Speller) -> str:
+    """Continuous paragraphs of clean words."""
+    return read(text, speller)[1]
 
 
 def known_words(records: DataFrame) -> dict[str, int]:
@@ -415,7 +465,7 @@ def known_words(records: DataFrame) -> dict[str, int]:
 
 
 def scanned(records: DataFrame, repaired: bool = True) -> DataFrame:
-    """(rec, repaired) of the records with noise of scanning; without repairs, repaired is null.
+    """(rec, repaired) of the records that decoding takes noise of scanning out of; without repairs, repaired is null.
 
     Words are known by the number of texts they stand in, counted over all records. Null, empty and clean texts,
     plain line wrapping, contents and numbered lists and the extractor's page lines give no row; very long texts are
@@ -429,8 +479,9 @@ def scanned(records: DataFrame, repaired: bool = True) -> DataFrame:
         speller = Speller(words.value)
         for b in batches:
             for a in range(0, len(b), 512):
-                part = [(r, t) for r, t in zip(*(x.to_pylist() for x in b.slice(a, 512).columns)) if is_scan(t, speller)]
+                decoded = [(r, *read(t, speller)) for r, t in zip(*(x.to_pylist() for x in b.slice(a, 512).columns))]
+                part = [(r, t) for r, found, t in decoded if found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r for r, _ in part], pa.string()), pa.array([repair(t, speller) if repaired else None for _, t in part], pa.string())], ["rec", "repaired"])
+                    [pa.array([r for r, _ in part], pa.string()), pa.array([t if repaired else None for _, t in part], pa.string())], ["rec", "repaired"])
 
     return records.where("text is not null").select("rec", "text").mapInArrow(run, "rec string, repaired string")

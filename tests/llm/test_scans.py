@@ -1,6 +1,6 @@
 import random
 
-from attestra.llm.scans import Speller, decode_words, document_words, is_scan, page_lines, paragraph_breaks, repair, scanned
+from attestra.llm.scans import Speller, decode_steps, decode_words, document_words, is_scan, page_lines, paragraph_breaks, repair, scanned
 
 WORDS = "система модель метод образование развитие общество структура анализ результат экономика которая определяет научный процесс влияние студент культура проверка точность журнал договор".split()
 
@@ -98,6 +98,17 @@ def test_records(spark):
     assert scanned(df.where("rec = 'x'")).count() == 0
 
 
+def test_found_by_decoding():
+    s = Speller({**{w: 50 for w in WORDS}, "баргузин": 3})
+    # noise that only decoding sees, and words that decoding must leave alone
+    for text, clean_text in (("Метод и сис тема.", "Метод и система."), ("Метод и развигие.", "Метод и развитие."), ("Метод и сис-\nтема.", "Метод и система.")):
+        assert is_scan(text, s) and repair(text, s) == clean_text
+    assert repair("Метод баргузон келмотан модель", s) == "Метод баргузон келмотан модель"
+    assert repair("методобразование", s) == "метод образование" and not is_scan("методобразование", s)
+    gains = [g for _, _, _, g in decode_steps(["метод", "сис", "тема"], [False] * 3, s)]
+    assert gains[0] == 0 and gains[1] > 4
+
+
 def test_labelled_and_repeated_headers():
     s = speller()
     for label in ("Стр. 29", "Page 59", "Сторінка 7", "[Seite 3]"):
