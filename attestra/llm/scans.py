@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attestra.plans.runtime import ship
+from attestra.plans.runtime import materialize, ship
 
 #: What a scanner reads, and what it may have been.
 CONFUSIONS = """
@@ -42,17 +42,22 @@ x| ж
 l| ы
 | l
 """
-#: A word is known if it stands in at least LEAST_DOCS texts and in LEAST_PART of all; so at most (distinct words per
-#: text / LEAST_PART) words are known, however many texts there are. Beyond MOST_WORDS the rarest are left out.
-LEAST_DOCS, LEAST_PART, MOST_WORDS = 3, 1 / 2000, 500_000
-#: In how many times the texts that make a word known a word must stand before one that is a letter off counts as its misreading.
-LEAST_COMMON = 5
+#: A word is known if it stands in at least LEAST_DOCS texts, however many texts there are, unless it is a misreading itself: one that
+#: stands in CHANGE_COST nats a change fewer texts than its reading. Up to MOST_WORDS are sent out; beyond, the rest is joined.
+LEAST_DOCS, MOST_WORDS = 3, 500_000
+#: In how many texts a word must stand before one that is a letter off counts as its misreading.
+LEAST_COMMON = 15
+CHANGE_COST = 3.5
+#: A token whose word costs more nats than this may be a part of one that a blank was put in.
+RARE_COST = 14.0
 #: Nats by which a corrected or joined word must cost less than what stood there to make a text a scan.
 LEAST_GAIN = 4.0
 HYPHENS = "-¬­‐"
 _EDGES = " \t.,;:!?…()[]{}«»„“”\"'‘’–—-¬­/|*•·"
 _DIGIT = re.compile(r"[0-9|]")
 _LETTERS = re.compile(r"[^\W\d_]")
+_HYPHENED = re.compile(rf"[{HYPHENS}][ \t]*\n")
+_HALVES = re.compile(rf"[^{HYPHENS}\s]*[^\W\d_][{HYPHENS}][ \t]*\n\s*[^\W\d_]\S*")
 _INSIDE = re.compile(r"[^\W\d_][0-9|]+[^\W\d_]")
 
 TABLE: dict[str, list[str]] = {}
@@ -61,6 +66,32 @@ for _line in CONFUSIONS.strip().split("\n"):
     TABLE[_seen] = _was
 
 
+def _skeletons() -> dict[int, str]:
+    """For each character what stands for it and all it may be confused with; a misreading has the skeleton of the word it was."""
+    one: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while one.get(c, c) != c:
+            c = one[c]
+        return c
+
+    for seen, was in TABLE.items():
+        for w in was if len(seen) == 1 else ():
+            one[root(w)] = root(seen)
+    table = {ord(c): root(c) for c in one}
+    for seen, was in TABLE.items():
+        for w in was if len(seen) > 1 else ():
+            table[ord(w)] = "".join(root(c) for c in seen)
+    return table
+
+
+_SKELETON = _skeletons()
+
+
+def skeleton(word: str) -> str:
+    return word.translate(_SKELETON)
+
+
 def core(token: str) -> str:
     """The word in a token: lower case, without marks around it."""
     return token.strip(_EDGES).lower()
@@ -75,6 +106,7 @@ def document_words(records: DataFrame) -> DataFrame:
         out = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
         for b in batches:
             for t in b.column(0).to_pylist():
+                t = _HALVES.sub(" ", t) if _HYPHENED.search(t) else t  # parts of a word broken at a line's end are no words
                 counts.update({core(w) for w in set(t.split())})
             if len(counts) > 500_000:
                 yield out()
@@ -87,14 +119,36 @@ def document_words(records: DataFrame) -> DataFrame:
 class Speller:
     """Costs of words in nats, and what a misread word may have been."""
 
-    def __init__(self, known: dict[str, int]):
+    def __init__(self, known: dict[str, int], total: int = 0):
+        self.total = total or sum(known.values()) or 1
+        alike: dict[str, list[str]] = {}
+        for w in known:
+            alike.setdefault(skeleton(w), []).append(w)
+        self.alike = dict.fromkeys(alike)
+        self.rare = self.total * math.exp(-RARE_COST)
+        self.common = LEAST_COMMON
         self.known = known
-        self.total = sum(known.values()) or 1
-        #: A word must stand in so many texts before one that is a letter off counts as its misreading; names don't.
-        self.common = LEAST_COMMON * min(known.values(), default=1)
+        misread = {w for group in alike.values() if len(group) > 1 for w in group if len(w) >= 4 and self.outweighed(w)}
+        if misread:
+            self.known = {w: n for w, n in known.items() if w not in misread}
         self.remembered: dict[str, tuple[float, str]] = {}
         self.kept: dict[str, bool] = {}
 
+    def outweighed(self, word: str) -> bool:
+        """Whether a counted word is more likely a misreading of a far more common one."""
+        n = math.log(self.known[word])
+        return any(v != word and self.known[v] >= self.common and math.log(self.known[v]) - CHANGE_COST * k > n for v, k in self.variants(word))
+
+    def grown(self, more: dict[str, int]) -> Speller:
+        """A speller that knows further words besides, given with all words of their skeletons."""
+        small = Speller(more, self.total)
+        new = Speller.__new__(Speller)
+        new.__dict__.update(self.__dict__)
+        new.known = ChainMap({w: n for w, n in small.known.items() if w not in self.known}, self.known)
+        new.alike = ChainMap(dict.fromkeys(small.alike), self.alike)
+        new.remembered, new.kept = {}, {}
+        return new
+
     def variants(self, word: str, changes: int = 2) -> list[tuple[str, int]]:
         """Words that `word` may be a misreading of, with the number of changes; every digit or sign in it is changed."""
         found: dict[str, int] = {}
@@ -131,9 +185,9 @@ class Speller:
                 got = (math.log(self.total / n), word)
             else:
                 got = (self.left(word), word)
-                if len(word) >= 4:
+                if len(word) >= 4 and skeleton(word) in self.alike:
                     for v, k in self.variants(word):
-                        got = min(got, (math.log(self.total / self.known[v]) + 3.5 * k, v))
+                        got = min(got, (math.log(self.total / self.known[v]) + CHANGE_COST * k, v))
             self.remembered[word] = got
         return got
 
@@ -152,7 +206,7 @@ class Speller:
             if len(self.kept) > 300_000:
                 self.kept.clear()
             word = core(token)
-            got = self.kept[token] = (word in self.known and not (len(word) == 1 and token.isalpha())) or (
+            got = self.kept[token] = (self.known.get(word, 0) > self.rare and not (len(word) == 1 and token.isalpha())) or (
                 not _LETTERS.search(word) and not (word and token[-1:].isalnum()))
         return got
 
@@ -167,6 +221,36 @@ class Speller:
         return 2 if _DIGIT.search(word) else int(self.known[reading] >= self.common)
 
 
+class _Asked(dict):
+    """A dictionary that notes which words it was asked for and did not hold."""
+
+    def __init__(self, held: dict[str, int]):
+        super().__init__(held)
+        self.missed: set[str] = set()
+
+    def __contains__(self, word) -> bool:
+        return super().__contains__(word) or self.missed.add(word) is not None
+
+    def get(self, word, default=None):
+        return super().get(word) if word in self else default
+
+
+class _Asker(Speller):
+    """Decodes with a part of the words only, to note every further word that decoding may ask for: what is unknown here is
+    joined, split and looked up at least as often as with all words. Readings are found by skeleton, so none is tried."""
+
+    def __init__(self, speller: Speller):
+        self.__dict__.update(speller.__dict__)
+        self.known, self.remembered, self.kept, self.alike = _Asked(speller.known), {}, {}, ()
+
+    def asked(self, text: str) -> set[str]:
+        self.remembered.clear()
+        self.kept.clear()
+        self.known.missed = set()
+        read(text, self)
+        return {w for w in self.known.missed if 0 < len(w) <= 64 and _LETTERS.search(w)}
+
+
 _NUMBER = re.compile(r"^[\[(\-–—.\s]*(\d{1,4})[\])\-–—.\s]*$")
 _HEADED = re.compile(r"^\s*\d{1,4}\s*[|•·]\s*\S|\S\s*[|•·]\s*\d{1,4}\s*$")
 #: A page word and a number alone in their line; the abbreviations may also be a citation that wrapped.
@@ -335,7 +419,7 @@ def _offers(tokens: list[str], hyphen: list[bool], speller: Speller, i: int, off
             longer = joined.rstrip(HYPHENS) + tokens[i + 2]
             c, r = speller.cost(core(longer))
             offer(i, i + 3, c + 1.0, [_recase(longer, r)])
-    elif i + 1 < n and word and word not in speller.known and token[-1:].isalnum() and tokens[i + 1][:1].isalnum():
+    elif i + 1 < n and word and speller.known.get(word, 0) <= speller.rare and token[-1:].isalnum() and tokens[i + 1][:1].isalnum():
         c, r = speller.cost(core(token + tokens[i + 1]))
         if r in speller.known:  # two unknown words are no more likely one
             offer(i, i + 2, c + 6.0, [_recase(token + tokens[i + 1], r)])
@@ -350,7 +434,7 @@ def _offers(tokens: list[str], hyphen: list[bool], speller: Speller, i: int, off
                     offer(i, j, c + 2.0, [_recase(joined, r)])
     if len(word) >= 8 and word not in speller.known and word.isalpha():
         for k in range(3, len(word) - 2):
-            if word[:k] in speller.known and word[k:] in speller.known:
+            if (word[:k] in speller.known) & (word[k:] in speller.known):
                 at = token.lower().find(word) + k
                 offer(i, i + 1, speller.cost(word[:k])[0] + speller.cost(word[k:])[0] + 5.0, [token[:at], token[at:]])
 
@@ -444,7 +528,9 @@ def _is_noise(tokens: list[str], words: list[str], broken: bool, speller: Spelle
         return False
     if len(tokens) == 1:
         return speller.misread(tokens[0]) > 0
-    return speller.known.get(core(words[0]), 0) >= (1 if broken else speller.common)
+    bare = words[0].strip(_EDGES)
+    plain = broken or bare.isalpha() and bare in (bare.lower(), bare.upper(), bare.capitalize())  # garbled text has blanks within words, too
+    return plain and speller.known.get(bare.lower(), 0) >= (1 if broken else speller.common)
 
 
 def is_scan(text: str, speller: Speller) -> bool:
@@ -457,31 +543,63 @@ def repair(text: str, speller: Speller) -> str:
     return read(text, speller)[1]
 
 
-def known_words(records: DataFrame) -> dict[str, int]:
-    n = records.where("text is not null").count()
-    least = max(LEAST_DOCS, math.ceil(n * LEAST_PART))
-    rows = document_words(records).where(F.col("n") >= least).where("length(word) <= 64").orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    return {r["word"]: r["n"] for r in rows}
+def known_words(records: DataFrame) -> DataFrame:
+    """(word, n) of every word in at least LEAST_DOCS texts."""
+    return document_words(records).where(F.col("n") >= LEAST_DOCS).where("length(word) <= 64")
+
 
+def _further(records: DataFrame, words: DataFrame, speller) -> DataFrame:
+    """(rec, words, counts): for texts that ask for words that were not sent out, those words and all of their skeletons."""
 
-def scanned(records: DataFrame, repaired: bool = True) -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asker = _Asker(speller.value)
+        for b in batches:
+            for a in range(0, len(b), 512):
+                part = [(r, skeleton(w)) for r, t in zip(*(x.to_pylist() for x in b.slice(a, 512).columns)) for w in asker.asked(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.string()), pa.array([k for _, k in part], pa.string())], ["rec", "skeleton"])
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([skeleton(w) for w in b.column(0).to_pylist()], pa.string())], ["word", "n", "skeleton"])
+
+    asked = records.mapInArrow(ask, "rec string, skeleton string").distinct()
+    got = asked.join(words.mapInArrow(key, "word string, n long, skeleton string"), "skeleton")
+    return got.groupBy("rec").agg(F.collect_list(F.struct("word", "n")).alias("w")).select("rec", F.col("w.word").alias("words"), F.col("w.n").alias("counts"))
+
+
+def scanned(records: DataFrame, repaired: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
     """(rec, repaired) of the records that decoding takes noise of scanning out of; without repairs, repaired is null.
 
-    Words are known by the number of texts they stand in, counted over all records. Null, empty and clean texts,
+    Words are known by the number of texts they stand in, counted over all records. The most frequent most_words are sent
+    out; if there are more, what texts ask for beyond them is joined to the texts. Null, empty and clean texts,
     plain line wrapping, contents and numbered lists and the extractor's page lines give no row; very long texts are
-    decoded whole; extra columns are ignored.
+    decoded whole; extra columns are ignored. rec is unique.
     """
     spark = records.sparkSession
     ship(spark)
-    words = spark.sparkContext.broadcast(known_words(records))
+    counted = materialize(known_words(records))
+    size, total = counted.agg(F.count("*"), F.sum("n")).first()
+    rows = counted.orderBy(F.desc("n"), "word").limit(most_words).collect() if size > most_words else counted.collect()
+    words = spark.sparkContext.broadcast(Speller({r["word"]: r["n"] for r in rows}, total or 0))
+    texts = records.where("text is not null").select("rec", "text")
+    schema = "rec string, repaired string"
+
+    def out(part: list[tuple[str, bool, str]]) -> pa.RecordBatch:
+        part = [(r, t) for r, found, t in part if found]
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.string()), pa.array([t if repaired else None for _, t in part], pa.string())], ["rec", "repaired"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(words.value)
+        speller = words.value
+        for b in batches:
+            for a in range(0, len(b), 512):
+                yield out([(r, *read(t, speller)) for r, t in zip(*(x.to_pylist() for x in b.slice(a, 512).columns))])
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller = words.value
         for b in batches:
             for a in range(0, len(b), 512):
-                decoded = [(r, *read(t, speller)) for r, t in zip(*(x.to_pylist() for x in b.slice(a, 512).columns))]
-                part = [(r, t) for r, found, t in decoded if found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r for r, _ in part], pa.string()), pa.array([t if repaired else None for _, t in part], pa.string())], ["rec", "repaired"])
+                yield out([(r, *read(t, speller.grown(dict(zip(more, n))) if more else speller)) for r, t, more, n in zip(*(x.to_pylist() for x in b.slice(a, 512).columns))])
 
-    return records.where("text is not null").select("rec", "text").mapInArrow(run, "rec string, repaired string")
+    if size <= most_words:
+        return texts.mapInArrow(run, schema)
+    return texts.join(_further(texts, counted, words), "rec", "left").mapInArrow(run_joined, schema)

@@ -1,6 +1,6 @@
 import random
 
-from attestra.llm.scans import Speller, decode_steps, decode_words, document_words, is_scan, page_lines, paragraph_breaks, repair, scanned
+from attestra.llm.scans import Speller, decode_steps, decode_words, document_words, is_scan, known_words, page_lines, paragraph_breaks, repair, scanned, skeleton
 
 WORDS = "система модель метод образование развитие общество структура анализ результат экономика которая определяет научный процесс влияние студент культура проверка точность журнал договор".split()
 
@@ -120,3 +120,24 @@ def test_labelled_and_repeated_headers():
     copied = "система модель\nНаучный Журнал\nметод анализа.\n" * 3
     for text in (copied, "система [65,\nс. 233].\nМодель влияет.", "система [65,\nс. 233\nмодель].", "модель.\n--- Страница 2 ---\nСистема."):
         assert not is_scan(text, s), text
+
+
+def test_words_are_known_at_any_size(spark):
+    # one word in three of 8 000 texts
+    df = spark.range(8000).selectExpr("concat('d', id) AS rec", "CASE WHEN id < 3 THEN 'модель редкость' ELSE 'модель' END AS text")
+    assert {r["word"]: r["n"] for r in known_words(df).collect()} == {"модель": 8000, "редкость": 3}
+    # a misreading that stands in many texts, and a rare word that is only rarer
+    s = Speller({"зависит": 60_000, "завнсит": 75, "лупирон": 99, "лунирон": 50})
+    assert s.cost("завнсит")[1] == "зависит" and s.misread("завнсит") and not s.misread("лунирон")
+    assert skeleton("rnоdcl") == skeleton("mоclcl") == skeleton("mоdd")
+
+
+def test_words_beyond_those_sent_out(spark):
+    rng = random.Random(6)
+    rows = [(f"d{i}", "\n".join(clean(rng, 4))) for i in range(150)]
+    rows += [(f"s{i}", scan(rng, clean(rng, 6))) for i in range(1)] + [(f"t{i}", f"Метод и {w}.") for i, w in enumerate(["сис тема", "развигие", "журн4л", "методобразование", "дог0вор"])]
+    df = spark.createDataFrame(rows, "rec string, text string")
+    whole = {tuple(r) for r in scanned(df).collect()}
+    assert {r for r, _ in whole} >= {"s0", "t0", "t1", "t4"} and ("t0", "Метод и система.") in whole
+    for most in (0, 5):
+        assert {tuple(r) for r in scanned(df, most_words=most).collect()} == whole
