@@ -60,7 +60,9 @@ Z Ζ
 Ф Φ
 """
 #: Letters above whose shapes differ too much to count as the same look in running text.
-NOT_ALIKE = set("ӏlԁdһhԀDιЗƷ")
+NOT_ALIKE = set("ιЗƷ")
+#: Cyrillic letters above that few languages use; in a word without a letter that is Cyrillic alone they are taken for the Latin ones.
+SELDOM = "һԁԀӏ"
 #: Characters that stand for several letters side by side: ligatures, Roman numerals, digraphs (first and last code point).
 JOINED = ((0xFB00, 0xFB06), (0x2160, 0x217F), (0x0132, 0x0133), (0x01C7, 0x01CC))
 #: Hyphens that differ only in whether a line may break after them.
@@ -93,17 +95,16 @@ def compiled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             alike[c] = one
     if set(alike) & set(alike.values()):
         raise ValueError("a letter that stands for a set is in another set")
-    skip = range(0xAC00, 0xD7A4)  # Hangul syllables fall apart by the same rule, but are no look-alikes
-    for code in range(0x80, 0x30000):
+    for code in range(0x80, top):
         c = chr(code)
         kind = unicodedata.category(c)
-        if kind in ("Cn", "Co", "Cs") or code in skip:
+        if kind in ("Cn", "Co", "Cs"):
             continue
         marks[code] = unicodedata.combining(c)
         form = unicodedata.decomposition(c)
         if form.startswith(("<wide>", "<narrow>")) or any(a <= code <= z for a, z in JOINED):
             c = unicodedata.normalize("NFKC", c)
-        if kind == "Cf" or 0xFE00 <= code <= 0xFE0F or code == 0x34F:
+        if kind == "Cf" or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or 0x180B <= code <= 0x180F or code == 0x34F:
             out = ""
         elif kind == "Zs":
             out = " "
@@ -115,9 +116,8 @@ def compiled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for c, one in alike.items():
         into[0, ord(c)] = ord(one)
     used = np.unique(into[0][width > 0])
-    again = used[used < 0x30000]
     # joined characters were taken apart by now, so their letters are outputs of their own
-    if ((width[again] != 1) | (into[0][again] != again)).any():
+    if ((width[used] != 1) | (into[0][used] != used)).any():
         raise ValueError("an output would change again")
     return width, into, marks
 
@@ -156,7 +156,7 @@ def _scripts() -> tuple[regex.Pattern, regex.Pattern, dict]:
     shared = "".join(c for s in sets for c in s)
     return (
         regex.compile(rf"[\p{{Script=Cyrillic}}--[{shared}]]", regex.V1),
-        regex.compile(rf"[\p{{Script=Latin}}--[{shared}]]", regex.V1),
+        regex.compile(rf"[[\p{{Script=Latin}}--[{shared}]]{SELDOM}]", regex.V1),
         {ord(s[0]): s[1] for s in sets},
     )
 

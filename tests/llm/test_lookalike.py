@@ -19,6 +19,14 @@ def test_same_looks():
     assert {readable(f) for f in forms} == {BASE}
 
 
+def test_listed_letters_planes_and_hangul():
+    text = "Had a long IDLE hold, длинный ход 한글 각"
+    for other in (text.translate(str.maketrans("hdDl", "һԁԀӏ")), text.replace("g", "g\U000e0061"), text.replace("글", "글\U000e0101"), unicodedata.normalize("NFD", text)):
+        a, b = same_look([text, other])
+        assert a == b and readable(b) == text
+    assert readable(same_look(["қазақ һәм had all"])[0]) == "қазақ һәм had all"
+
+
 def test_ligatures():
     assert same_look(["ﬁnal eﬃcient work\ufb02ow Ⅳ"]) == same_look(["final efficient workflow IV"])
     assert len(set(same_look(["x²", "x2", "½", "1/2"]))) == 4
