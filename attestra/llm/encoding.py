@@ -26,10 +26,8 @@ LOST = "\ufffd"
 ROUNDS = 6
 #: Nats by which a stretch must read better after decoding, and letters it must have.
 LEAST_GAIN, LEAST_LETTERS = 14.0, 4
-#: Texts on which the letter model is fitted, at most, chosen by hash of their record; all texts are examined.
-SAMPLE = 1000
 
-#: Plain sentences that keep the letter model sound where the sample is small.
+#: Plain sentences that keep the letter model sound where there are few texts.
 SEED = """
 В настоящей работе рассматривается развитие системы образования и её влияние на общество. Студент должен изучить основные понятия, провести исследование, описать метод и сделать выводы.
 Если результаты подтверждают гипотезу, то можно предположить, что выбранный подход является наиболее эффективным. Кроме того, учитывается стоимость, надёжность, точность и доступность оборудования.
@@ -137,16 +135,35 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """How often a class follows a class in texts, each with a boundary at its ends; so counts of parts add up."""
+    k = _classes()[0][np.minimum(_codes("\n".join(["", *texts, ""])), 0x2FFF)] if texts else np.zeros(0, np.int16)
+    return np.bincount(k[:-1].astype(np.int64) * _SIZE + k[1:], minlength=_SIZE * _SIZE)
+
+
+def count_pairs(rows: DataFrame) -> np.ndarray:
+    """pair_counts of the column text of all rows, added up by partition before they are collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_SIZE * _SIZE, np.int64)
+        for b in batches:
+            for a in range(0, len(b), 512):
+                total += pair_counts(b.column(0).slice(a, 512).to_pylist())
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], ["pair", "n"])
+
+    counts = np.zeros(_SIZE * _SIZE, np.int64)
+    for r in rows.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["pair"]] = r["n"]
+    return counts
+
+
 class LetterModel:
-    """Log probabilities of a letter after a letter, fitted on texts."""
-
-    def __init__(self, texts: list[str]):
-        counts = np.full((_SIZE, _SIZE), 0.05)
-        kind = _classes()[0]
-        for t, weight in [(SEED, 3.0), *((t, 1.0) for t in texts)]:
-            k = kind[np.minimum(_codes(t), 0x2FFF)]
-            pairs = np.bincount(k[:-1].astype(np.int64) * _SIZE + k[1:], minlength=_SIZE * _SIZE).reshape(_SIZE, _SIZE)
-            counts += weight * pairs
+    """Log probabilities of a letter after a letter, fitted on texts or on their pair counts."""
+
+    def __init__(self, texts: list[str], pairs: np.ndarray | None = None):
+        pairs = pair_counts(texts) if pairs is None else pairs
+        counts = 0.05 + (3.0 * pair_counts([SEED]) + pairs).reshape(_SIZE, _SIZE)
         # each letter weighs as in its own script, so that texts in one language don't make another unlikely
         rows = counts.sum(1, keepdims=True)
         self.log = np.log(counts / rows)
@@ -331,9 +348,7 @@ def garbled(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     ship(spark)
     rows = records.where("text is not null and text <> ''").select("rec", "text")
-    share = min(1.0, 1.5 * SAMPLE / max(1, records.count()))
-    few = rows.where(F.pmod(F.xxhash64("rec"), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.xxhash64("rec")).limit(SAMPLE).collect()
-    model = spark.sparkContext.broadcast(LetterModel([r["text"] for r in few]))
+    model = spark.sparkContext.broadcast(LetterModel([], count_pairs(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,4 +1,4 @@
-from attestra.llm.encoding import CONFUSED, READ_AS, LetterModel, garbled, restore, to_bytes
+from attestra.llm.encoding import CONFUSED, READ_AS, LetterModel, count_pairs, garbled, pair_counts, restore, to_bytes
 
 RU = "Для исторической федерации сотрудничества применяется итоговая ценность, которая раскрывает городской жанр — «Модель № 7». Кроме того, система включает проверку."
 DE = "Die gründliche Übung fördert die ländliche Ausbildung der Messung größer als möglich."
@@ -53,3 +53,11 @@ def test_records(spark):
     got = {r["rec"]: (r["restored"], r["complete"]) for r in garbled(df).collect()}
     assert got.keys() == {"d2", "s5", "s6", "s7"} and got["d2"] == (RU, True) and not got["s5"][1] and got["s7"] == ("Die Aufl\ufffdsung der Messung.", False)
     assert garbled(df.where("rec = 'x'")).count() == 0
+
+
+def test_letter_pairs_are_counted_over_all_texts(spark):
+    # the pair "ёэ" stands in one of 3 000 texts only
+    df = spark.range(3000).selectExpr("concat('d', id) AS rec", "CASE WHEN id = 1234 THEN 'ёэ' ELSE 'да' END AS text")
+    counts = count_pairs(df.repartition(7))
+    assert counts.tolist() == pair_counts(["ёэ"] + ["да"] * 2999).tolist() == count_pairs(df).tolist()
+    assert counts.sum() == 3 * 3000 and sorted(counts[counts > 0].tolist()) == [1, 1, 1, 2999, 2999, 2999]
