@@ -275,9 +275,10 @@ def _keep(out: list, start: int, end: int, top: float, letters: np.ndarray) -> N
 
 
 def _prose(codes: np.ndarray, letters: np.ndarray) -> bool:
-    """Garbled prose has letters of many kinds and little else above ASCII: not just a hyphen or blank again and again."""
+    """Garbled prose has letters of many kinds, side by side, and little else above ASCII: not just a hyphen or blank again
+    and again, nor a word spaced out."""
     high = codes > 0x7F
-    return letters.sum() >= 0.8 * high.sum() and len(np.unique(codes[letters])) >= 4
+    return 3 * (letters[1:] & letters[:-1]).sum() >= letters.sum() and letters.sum() >= 0.8 * high.sum() and len(np.unique(codes[letters])) >= 4
 
 
 def _edges(codes: np.ndarray, other: np.ndarray, letters: np.ndarray, a: int, z: int) -> tuple[int, int]:

@@ -61,3 +61,9 @@ def test_letter_pairs_are_counted_over_all_texts(spark):
     counts = count_pairs(df.repartition(7))
     assert counts.tolist() == pair_counts(["ёэ"] + ["да"] * 2999).tolist() == count_pairs(df).tolist()
     assert counts.sum() == 3 * 3000 and sorted(counts[counts > 0].tolist()) == [1, 1, 1, 2999, 2999, 2999]
+
+
+def test_spaced_words_are_not_garbled():
+    texts = ["Система включает п р о м ы ш л е н н о г о тарифа.", RU]
+    pairs = pair_counts([RU] * 5000)  # many texts, in which hardly a letter stands alone
+    assert restore(texts, LetterModel([], pairs)) == [None, None]
