@@ -16,6 +16,9 @@ from attestra.plans.runtime import ship
 READ_AS = ("cp1251", "cp1252", "koi8_r", "cp866", "mac_cyrillic", "iso8859_5", "cp437", "mac_roman")
 #: Of these, the ones in which Latin letters with marks come out of garbled text.
 WESTERN = ("cp1251", "cp1252", "cp437", "mac_roman")
+#: Of these, the ones in which the later bytes of a character are Cyrillic letters, too: there words of other garbled text look like
+#: signs, so only Latin, Cyrillic, punctuation and a few signs are taken for garbled.
+LETTER_TAILS = ("cp866", "mac_cyrillic", "iso8859_5")
 #: Single-byte encodings of Cyrillic that were confused: (read as, was).
 CONFUSED = (
     ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1252", "cp866"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "cp866"),
@@ -67,15 +70,30 @@ def automaton(encoding: str) -> re.Pattern:
 
 @functools.cache
 def _screen(encoding: str) -> re.Pattern:
-    """One multibyte character of a block that garbled prose comes from: Latin with marks, Cyrillic, punctuation, signs."""
+    """One multibyte character of a block that garbled text comes from: Latin with marks, Greek, Cyrillic, punctuation, arrows and
+    mathematical signs, symbols, a byte order mark, emoji; see LETTER_TAILS."""
     byte = to_bytes(encoding)
     some = lambda *of: "[" + "".join(re.escape(chr(c)) for c, b in byte.items() if any(low <= b <= high for low, high in of)) + "]"
-    return re.compile(some((0xC2, 0xC5), (0xCC, 0xCC), (0xD0, 0xD2)) + some((0x80, 0xBF)) + "|" + some((0xE2, 0xE2)) + some((0x80, 0x84)) + some((0x80, 0xBF)))
+    tail = some((0x80, 0xBF))
+    usual = some((0xC2, 0xC5), (0xCC, 0xCC), (0xD0, 0xD2)) + tail + "|" + some((0xE2, 0xE2)) + some((0x80, 0x84)) + tail
+    if encoding in LETTER_TAILS:
+        return re.compile(usual)
+    return re.compile(
+        usual + "|" + some((0xCE, 0xCF)) + tail + "|" + some((0xE2, 0xE2)) + some((0x86, 0x8B), (0x98, 0x9F)) + tail + "|" + some((0xEF, 0xEF)) + some((0xBB, 0xBB)) + some((0xBF, 0xBF))
+        + "|" + some((0xF0, 0xF0)) + some((0x9F, 0x9F)) + tail * 2)
 
 
-def _plausible(c: str) -> bool:
+def _sign(o: int, encoding: str) -> bool:
+    """Signs whose bytes don't come about by chance, even alone."""
+    return 0x2010 <= o <= 0x203A or o in (0x20AC, 0x2116, 0x2122) or 0x2190 <= o <= 0x2193 or encoding not in LETTER_TAILS and (
+        o == 0xFEFF or 0x2190 <= o <= 0x22FF or 0x2600 <= o <= 0x27BF or 0x1F000 <= o <= 0x1FAFF)
+
+
+def _plausible(c: str, encoding: str) -> bool:
     o = ord(c)
-    return 0x80 <= o <= 0x17F or 0x400 <= o <= 0x45F or o in (0x490, 0x491, 0x300, 0x301, 0x306, 0x308) or 0x2010 <= o <= 0x203A or o in (0x20AC, 0x2116, 0x2122) or 0x2190 <= o <= 0x2193
+    if _sign(o, encoding) or encoding not in LETTER_TAILS and (0x386 <= o <= 0x3CE or o == 0xFE0F):
+        return True
+    return 0x80 <= o <= 0x17F or 0x400 <= o <= 0x45F or o in (0x490, 0x491, 0x300, 0x301, 0x306, 0x308)
 
 
 def decode_spans(text: str, encoding: str) -> tuple[str, int]:
@@ -87,11 +105,11 @@ def decode_spans(text: str, encoding: str) -> tuple[str, int]:
         raw = bytes(byte.get(ord(c), ord(c)) for c in m.group())
         good = raw.decode("utf-8")
         wide = [c for c in good if ord(c) > 0x7F]
-        likely = [c for c in wide if _plausible(c) and (ord(c) >= 0x400 or encoding in WESTERN)]
+        likely = [c for c in wide if _plausible(c, encoding) and (ord(c) >= 0x370 or encoding in WESTERN)]
         if len(likely) < 0.8 * len(wide):
             return m.group()
         beside = any(ord(a) > 0x7F and ord(b) > 0x7F for a, b in zip(good, good[1:]))
-        marks = any(ord(c) >= 0x2010 for c in likely)
+        marks = any(_sign(ord(c), encoding) for c in likely)
         near = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
         western = all(ord(c) < 0x180 for c in wide) and (encoding == "cp1252" or all(ord(c) >= 0xC0 for c in wide) and any(c.isascii() and c.isalpha() for c in near))
         if not (beside or marks or western or (len(wide) >= 3 and found)):
@@ -337,8 +355,10 @@ def restore(texts: list[str], model: LetterModel) -> list[tuple[str, int] | None
 def garbled(records: DataFrame) -> DataFrame:
     """(rec, restored, n_garbled, complete) of the records with a stretch decoded wrongly.
 
-    UTF-8 read as a legacy encoding, once or several times over, is found exactly: characters are mapped back to
-    bytes, and spans that the UTF-8 automaton accepts are decoded. A single-byte encoding read as another leaves no byte structure;
+    UTF-8 read as a legacy encoding, once or several times over: characters are mapped back to bytes, and spans that the UTF-8
+    automaton accepts are decoded, if they give Latin, Greek or Cyrillic letters, punctuation, arrows, mathematical signs,
+    symbols, emoji or a byte order mark. Other blocks are left (three bytes of an East Asian letter are also a word of cp866), and where the encoding has Cyrillic letters among the later bytes
+    (LETTER_TAILS) all but Latin, Cyrillic, punctuation and a few signs, as plain words would look like them. A single-byte encoding read as another leaves no byte structure;
     there a letter model decides which stretches read better decoded (see README). Replacement characters (U+FFFD)
     are garbled too. complete is false where characters were lost on the way, so that the text is only restored in
     part.

@@ -67,3 +67,13 @@ def test_spaced_words_are_not_garbled():
     texts = ["Система включает п р о м ы ш л е н н о г о тарифа.", RU]
     pairs = pair_counts([RU] * 5000)  # many texts, in which hardly a letter stands alone
     assert restore(texts, LetterModel([], pairs)) == [None, None]
+
+
+def test_other_blocks_of_utf8():
+    model = LetterModel([])
+    for text in ("The bound is x ≤ y here.", "Das Ziel − hier.", "Das Maß ≈ 3 ∑ a.", "\ufeffThe start.", "Good 😀 work.", "The λόγος of it.", "star ☺ here"):
+        for encoding in ("cp1251", "cp1252"):
+            got = restore([misread(text, encoding)], model)[0]
+            assert got and got[0] == text, (text, encoding, got)
+    good = ["ООО «НПО» и «ПАО».", "много слов”–", "в слове»—", "таблица уважаемая удача", "λόγος и ≤, 日本語 😀"]
+    assert restore(good, model) == [None] * len(good)
