@@ -218,7 +218,7 @@ class SharedSpans:
     shared. Two passes over the texts; only windows that the sketch takes for repeated are shuffled.
 
     members (cls, rec), matches (cls_a, cls_b, at_a, at_b, n: classes in either order and equal wording around one
-    chosen window), pairs(), spans(), coverage().
+    chosen window that few texts hold), hot_places (cls, a, z: stretches shared around the others), pairs(), spans(), coverage().
     """
 
     def __init__(self, records: DataFrame, length: int = 300, gram: int | None = None):
@@ -246,12 +246,20 @@ class SharedSpans:
         holders = windows.groupBy("hash").agg(F.count_distinct("cls").alias("texts"), F.count("*").alias("n")).where("texts > 1")
         windows = materialize(windows.join(holders, "hash"))
         few = windows.where(F.col("n") <= HOT_WINDOW)
-        stretches = self._stretches(windows.where(F.col("n") > HOT_WINDOW), gram)
+        stretches = materialize(self._stretches(windows.where(F.col("n") > HOT_WINDOW), gram))
         self.hot_places = stretches.select("cls", F.col("at").alias("a"), (F.col("at") + length).alias("z"))
-        first = stretches.groupBy("key", "key2", "cls").agg(F.min("at").alias("at"))
-        a, b = (first.select("key", "key2", F.col("cls").alias(f"cls_{s}"), F.col("at").alias(f"at_{s}")) for s in "ab")
-        hot = a.join(b, ["key", "key2"]).where("cls_a < cls_b").select("cls_a", "cls_b", "at_a", "at_b", F.lit(length).alias("n"))
-        self.matches = materialize(self._pairwise(few, "hash", gram).unionByName(hot))
+        self.hot_keys = stretches.select("key", "key2", "cls").distinct()
+        self.matches = materialize(self._pairwise(few, "hash", gram))
+
+    def hot_pairs(self) -> DataFrame:
+        """(cls_a, cls_b), each once: classes that share a stretch around a window held by many texts. Of the stretches that the
+        same classes hold, which a long passage has by the hundred, one is joined."""
+        held = self.hot_keys.groupBy("key", "key2").agg(
+            F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y"))
+        one = held.groupBy("n", "x", "y").agg(F.min(F.struct("key", "key2")).alias("k")).select("k.key", "k.key2")
+        kept = self.hot_keys.join(one, ["key", "key2"])
+        a, b = (kept.select("key", "key2", F.col("cls").alias(f"cls_{s}")) for s in "ab")
+        return a.join(b, ["key", "key2"]).where("cls_a < cls_b").select("cls_a", "cls_b").distinct()
 
     def _pairwise(self, windows: DataFrame, key: str, gram: int) -> DataFrame:
         side = lambda s: windows.select(key, *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "pos", "ahead", "after")])
@@ -276,7 +284,7 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """(rec_a, rec_b), rec_a < rec_b, each once: records with a stretch in common."""
-        linked = self.matches.select("cls_a", "cls_b").distinct()
+        linked = self.matches.select("cls_a", "cls_b").unionByName(self.hot_pairs()).distinct()
         a, b = (self.members.select(F.col("cls").alias(f"cls_{s}"), F.col("rec").alias(f"r{s}")) for s in "ab")
         across = linked.join(a, "cls_a").join(b, "cls_b").select("ra", "rb")
         within = self.members.select("cls", F.col("rec").alias("ra")).join(self.members.select("cls", F.col("rec").alias("rb")), "cls").where("ra < rb").select("ra", "rb")

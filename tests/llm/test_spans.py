@@ -57,6 +57,17 @@ def test_hot_windows(spark):
     assert {tuple(r) for r in SharedSpans(df, 60).pairs().collect()} == brute(rows, 60)
 
 
+def test_hot_passage_makes_no_pairs_of_places(spark):
+    """A passage of 150 characters in 80 texts: coverage needs no pairs, and pairs come once."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice(LETTERS) for _ in range(n))
+    long = text(150)
+    rows = [(f"c{i}", text(30) + long + text(20)) for i in range(80)]
+    shared = SharedSpans(spark.createDataFrame(rows, "rec string, text string"), 60)
+    assert shared.matches.count() < 80 * 79 // 2 and shared.hot_pairs().count() == shared.pairs().count() == 80 * 79 // 2
+    assert {r["rec"]: r["shared_chars"] for r in shared.coverage().collect()} == covered(rows, 60)
+
+
 def test_empty(spark):
     shared = SharedSpans(spark.createDataFrame([], "rec string, text string"))
     assert shared.pairs().count() == shared.spans().count() == shared.coverage().count() == 0
