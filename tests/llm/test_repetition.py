@@ -1,7 +1,7 @@
 import random
 import re
 
-from attestra.llm.repetition import repetition, repetitive
+from attestra.llm.repetition import most_deficit, repetition, repetitive
 from attestra.llm.tokens import VOCABULARY, counter, encoding, token_counts
 
 
@@ -54,3 +54,15 @@ def test_piecewise_token_counts_are_exact(spark):
     assert [count(t) for t in rows] == [len(enc.encode_ordinary(t)) for t in rows]
     df = spark.createDataFrame([(1, "word", "s"), (2, None, None)], "doc_id long, text string, source string")
     assert sorted(tuple(r) for r in token_counts(df, "doc_id", "text", ["source"]).collect()) == [(1, "s", 1), (2, None, 0)]
+
+
+def test_the_band_of_runs_loses_nothing_and_leaves_prose_alone(spark):
+    rows = list(enumerate(texts()))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (0.1, 0.3, 0.6):
+        beyond = {r["doc_id"] for r in repetition(df, "doc_id", "text", share=share).collect() if "runs" in r["rejected"].split(",")}
+        assert beyond >= {i for i, t in rows if brute(t)[0] and brute(t)[1] >= share * brute(t)[0]}
+    prose = " ".join(f"word{i} the of {i * 7 % 101} and" for i in range(200))
+    got = repetition(spark.createDataFrame([(1, prose)], "doc_id long, text string"), "doc_id", "text").first()
+    assert got["run_deficit"] == 0 and "runs" not in got["rejected"] and got["repeated_words"] == 0
+    assert most_deficit(0.3) > 0.089
