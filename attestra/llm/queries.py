@@ -164,10 +164,11 @@ WITH held AS (SELECT doc_id, segment_index, max(tfidf_score) AS a, max(bm25_scor
  more AS (SELECT doc_id, chunk_index AS segment_index, max(semantic_score) AS c, max(rerank_score) AS d FROM chunk_analyses GROUP BY 1, 2),
  wide AS (SELECT h.*, c, d FROM held h LEFT JOIN more USING (doc_id, segment_index)),
  long AS (SELECT doc_id, segment_index, unnest([1, 2, 3, 4]) AS k, unnest([a, b, c, d]) AS v FROM wide),
- placed AS (SELECT *, rank() OVER w + count(*) OVER (PARTITION BY doc_id, k, v) / 2.0 - 1 AS x, count(*) OVER (PARTITION BY doc_id, k) AS n
+ placed AS (SELECT *, (rank() OVER w + count(*) OVER (PARTITION BY doc_id, k, v) / 2.0 - 1) / count(*) OVER (PARTITION BY doc_id, k) AS x, count(*) OVER (PARTITION BY doc_id, k) AS n
    FROM long WHERE v IS NOT NULL WINDOW w AS (PARTITION BY doc_id, k ORDER BY v)),
- flows AS (SELECT doc_id, segment_index, CASE WHEN n < 2 THEN 0 ELSE (n * x - sum(x) OVER (PARTITION BY doc_id, k)) / (n * (n - 1.0)) END AS f FROM placed),
- net AS (SELECT w.doc_id, w.segment_index, round(coalesce(sum(f), 0) / 4, 12) + 0.0 AS net_flow, count(f) AS n_scores
+ flows AS (SELECT a.doc_id, a.segment_index, a.k, sum(greatest(0, least(1, (a.x - b.x - 0.05) / 0.9)) - greatest(0, least(1, (b.x - a.x - 0.05) / 0.9))) / greatest(1, any_value(a.n) - 1) AS f
+   FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.k = b.k GROUP BY 1, 2, 3),
+ net AS (SELECT w.doc_id, w.segment_index, round(coalesce(sum(f), 0) / 4, 9) + 0.0 AS net_flow, count(f) AS n_scores
    FROM wide w LEFT JOIN flows f ON f.doc_id = w.doc_id AND f.segment_index = w.segment_index GROUP BY 1, 2)
 """
 P4_SQL = """

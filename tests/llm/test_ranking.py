@@ -4,7 +4,7 @@ import random
 from attestra.llm.ranking import best_item, net_flow_ranking
 
 
-def brute(rows, scores):
+def brute(rows, scores, q=0.05, p=0.95):
     groups = {}
     for g, i, *v in rows:
         if g is not None and i is not None:
@@ -22,7 +22,8 @@ def brute(rows, scores):
                     continue
                 place = lambda x: (sum(y < x for y in known) + 0.5 * sum(y == x for y in known)) / len(known)  # noqa: B023, E731
                 diff = [place(v[k]) - place(y) for y in known]
-                net += (sum(d for d in diff if d > 0) - sum(-d for d in diff if d < 0)) / (len(known) - 1)
+                prefer = lambda d: min(1.0, max(0.0, (d - q) / (p - q)))
+                net += sum(prefer(d) - prefer(-d) for d in diff) / (len(known) - 1)
             out[g, i] = net / scores
     return out
 
@@ -35,11 +36,12 @@ def test_against_all_pairs_and_in_pieces(spark):
             rows.append((g, i, *[rng.choice([None, float("nan"), rng.random() * s, float(rng.randrange(4))]) for s in (1.0, 900.0, 3.0)]))
     rows += rows[:3] + [(None, 1, 1.0, 1.0, 1.0), (1, None, 1.0, 1.0, 1.0)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc long, seg int, a double, b double, c double, k string")
-    expected = brute(rows, 3)
-    for piece in (10, 200_000):
-        got = {(r["doc"], r["seg"]): r["net_flow"] for r in net_flow_ranking(df, "doc", "seg", ["a", "b", "c"], piece=piece).collect()}
-        assert got.keys() == expected.keys()
-        assert all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    for q, p in ((0.05, 0.95), (0.0, 0.3), (0.1, 0.11)):
+        expected = brute(rows, 3, q, p)
+        for piece in (10, 200_000):
+            got = {(r["doc"], r["seg"]): r["net_flow"] for r in net_flow_ranking(df, "doc", "seg", ["a", "b", "c"], piece=piece, indifference=q, preference=p).collect()}
+            assert got.keys() == expected.keys()
+            assert all(abs(got[k] - expected[k]) < 2e-9 for k in got)
 
 
 def test_no_score_dominates(spark):
