@@ -1,9 +1,10 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 
 from attestra.llm import neighbours
-from attestra.llm.neighbours import Quantiser, _nearest, similar_pairs
+from attestra.llm.neighbours import Quantiser, _nearest, similar_pairs, vector_classes
 
 
 def brute(vectors, k=5):
@@ -44,20 +45,55 @@ def test_small_sets_are_exact_and_bad_vectors_left_out(spark):
 
 
 def test_recall_over_many_cells_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 500)
-    monkeypatch.setattr(neighbours, "PER_CELL", 12)
     v = make(4000, 16, 2)
-    got = run(spark, [(i, json.dumps(list(map(float, x)))) for i, x in v.items()], 16)
     true = brute(v)
-    assert len(got & true) / len(true) > 0.95 and len(got & true) / len(got) > 0.95
+    for block in (32_768, 100):  # 12 blocks, and 40, of which a vector visits 8
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        got = run(spark, [(i, json.dumps(list(map(float, x)))) for i, x in v.items()], 16)
+        assert len(got & true) / len(true) > 0.95 and len(got & true) / len(got) > 0.95
+
+
+def test_a_dense_region_is_dealt_and_nothing_in_it_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 60)
+    monkeypatch.setattr(neighbours, "LANDMARKS", 1)
+    monkeypatch.setattr(neighbours, "PROBED", 0.7)
+    rng = np.random.default_rng(5)
+    v = {i: rng.normal(size=8) + (40 if i < 4000 else 0) for i in range(5000)}
+    x = np.array(list(v.values()), np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    fitted = Quantiser.fit(x, len(x))
+    assert fitted.dealt.max() > 1 and len(fitted.block) == len(fitted.cells)
+    got = run(spark, [(i, json.dumps(list(map(float, y)))) for i, y in v.items()], 8)
+    true = brute(v)
+    assert len(got & true) / len(true) > 0.95
+
+
+def test_what_is_sent_does_not_grow_with_the_blocks():
+    class model:
+        value = Quantiser.fit(np.random.default_rng(1).normal(size=(20_000, 16)).astype(np.float32), 2_000_000)
+
+    assert model.value.dealt.max() == 1 and len(model.value.dealt) == 62
+    x = np.random.default_rng(2).normal(size=(3000, 16)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([r.tobytes() for r in x]), pa.array([1] * 3000, pa.int64())], ["id", "vec", "copies"])
+    sent = pa.Table.from_batches(list(neighbours._route(model, 16)(iter([batch]))))
+    visits = np.bincount(sent.column("id").to_numpy())
+    assert 1 <= visits.min() and visits.max() == neighbours.VISITS
+    home = sent.column("id").to_numpy()[~sent.column("away").to_numpy()]
+    assert sorted(home.tolist()) == list(range(3000))
+
+
+def test_classes(spark):
+    rows = [(3, "[1,0]"), (5, "[2,0]"), (7, "[0,1]"), (9, None), (11, "[0,0]")]
+    df = spark.createDataFrame(rows, "id long, embedding_json string")
+    assert sorted(tuple(r) for r in vector_classes(df, "id", "embedding_json", 2).collect()) == [(3, 3), (5, 3), (7, 7)]
 
 
 def test_beam_search_encodes_closely():
     x = np.random.default_rng(3).normal(size=(3000, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q = Quantiser.fit(x, len(x))
-    cell = _nearest(x, q.cells, 1)[:, 0]
-    codes, half = q.encode(x, cell)
-    stands_for = q.cells[cell] + sum(q.books[m][codes[:, m]] for m in range(len(q.books)))
+    near = q.cells[_nearest(x, q.cells, 1)[:, 0]]
+    codes, half = q.encode(x, near)
+    stands_for = near + sum(q.books[m][codes[:, m]] for m in range(len(q.books)))
     assert np.allclose(half, (stands_for**2).sum(1) / 2, atol=1e-4)
     assert ((x - stands_for) ** 2).sum(1).mean() < 0.05
