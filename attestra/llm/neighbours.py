@@ -113,7 +113,7 @@ class Quantiser:
         for _ in range(BOOKS):
             books.append(_means(rest, CODEWORDS, 6, rng))
             rest = rest - books[-1][_nearest(rest, books[-1], 1)[:, 0]]
-        return cls(cells, np.stack(books), block, dealt, int(max(1, min(k, np.ceil(PROBED * k)))))
+        return cls(cells, np.stack(books), block, dealt, int(np.ceil(PROBED * k)) if blocks > 1 else k)
 
     @property
     def first(self) -> np.ndarray:
@@ -157,6 +157,8 @@ def _route(model, dimensions: int):
                 near = _nearest(x, q.cells, q.probes)
                 blocks = q.block[near]
                 reach = np.einsum("ij,ij->i", x, q.cells[near[:, -1]]) - (q.cells[near[:, -1]] ** 2).sum(1) / 2
+                if q.probes == len(q.cells):  # few vectors: all are looked at
+                    reach[:] = -np.inf
                 # the first place of each block in a vector's list; the blocks of the nearest landmarks are visited
                 order = np.argsort(blocks, axis=1, kind="stable")
                 by = np.take_along_axis(blocks, order, 1)
@@ -298,7 +300,7 @@ def similar_pairs(raw: DataFrame, id: str, text: str, dimensions: int = 64, k: i
     ship(spark)
     vectors = materialize(parse_vectors(raw, id, text, dimensions))
     points = materialize(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    linked = point_pairs(points, dimensions, k)
+    linked = materialize(point_pairs(points, dimensions, k))
     members = vectors.join(points.where("copies > 1").select("vec", F.col("id").alias("point")), "vec").select("point", "id")
     hop = lambda df, c: df.join(members.withColumnRenamed("point", c).withColumnRenamed("id", "m"), c, "left").withColumn(c, F.coalesce("m", c)).drop("m")
     # within a group of equal vectors, both ends run over its members

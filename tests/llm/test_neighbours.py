@@ -70,7 +70,7 @@ def test_a_dense_region_is_dealt_and_nothing_in_it_is_lost(spark, monkeypatch):
 
 def test_what_is_sent_does_not_grow_with_the_blocks():
     class model:
-        value = Quantiser.fit(np.random.default_rng(1).normal(size=(20_000, 16)).astype(np.float32), 2_000_000)
+        value = Quantiser.fit(np.random.default_rng(1).normal(size=(26_000, 16)).astype(np.float32), 2_000_000)
 
     assert model.value.dealt.max() == 1 and len(model.value.dealt) == 62
     x = np.random.default_rng(2).normal(size=(3000, 16)).astype(np.float32)
