@@ -224,8 +224,8 @@ class _Block:
         own = self.codes[pick]
         for m in range(BOOKS):
             score += tables[m].take(own[:, m], axis=0)
-        # the best few by codes are ranked by their true cosines, at least 8 k
-        rank = min(len(pick), max(40, 8 * k))
+        # the best few by codes are ranked by their true cosines, at least 8 k; where there are few, all
+        rank = len(pick) if len(pick) <= 256 else max(40, 8 * k)
         score = np.ascontiguousarray(score.T)
         best = np.argpartition(score, len(pick) - rank, axis=1)[:, len(pick) - rank :]
         c, w = pick[best].ravel(), np.repeat(np.arange(len(some)), rank)
