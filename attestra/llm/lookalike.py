@@ -12,12 +12,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from attestra.plans.runtime import ship
+from attestra.plans.runtime import materialize, ship
 
 #: Letters that look the same, one set a line. The first stands for all; the second is the form used in
 #: Latin words, if the set has a Latin letter.
 LOOKALIKES = """
-а a
+а a ɑ
 е e
 о o ο օ
 р p ρ
@@ -27,13 +27,16 @@ LOOKALIKES = """
 і i ι
 ј j ϳ
 ѕ s
-һ h
+һ h հ
 ԁ d
 ԛ q
 ԝ w
 ӏ l
 к κ
 v ν ѵ
+g ɡ
+n ո
+u ս
 А A Α
 В B Β
 Е E Ε
@@ -65,6 +68,32 @@ NOT_ALIKE = set("ιЗƷ")
 SELDOM = "һԁԀӏ"
 #: Characters that stand for several letters side by side: ligatures, Roman numerals, digraphs (first and last code point).
 JOINED = ((0xFB00, 0xFB06), (0x2160, 0x217F), (0x0132, 0x0133), (0x01C7, 0x01CC))
+#: Clusters of several code points that look like another letter: letter, mark, what it looks like.
+CLUSTERS = """
+ı \u0307 i
+i \u0307 i
+ȷ \u0307 j
+j \u0307 j
+o \u0337 ø
+o \u0338 ø
+O \u0337 Ø
+O \u0338 Ø
+d \u0335 đ
+D \u0335 Đ
+h \u0335 ħ
+H \u0335 Ħ
+t \u0335 ŧ
+T \u0335 Ŧ
+b \u0335 ƀ
+l \u0335 ƚ
+l \u0337 ł
+l \u0338 ł
+L \u0337 Ł
+L \u0338 Ł
+"""
+#: A cluster of pictures that zero-width joiners make one picture; there, the joiner (JOINER while texts are compared) is no invisible character.
+_PICTURES = regex.compile(r"\p{Extended_Pictographic}[\ufe0e\ufe0f\U0001f3fb-\U0001f3ff]*(?:\u200d\p{Extended_Pictographic}[\ufe0e\ufe0f\U0001f3fb-\U0001f3ff]*)+")
+JOINER = "\ufdd0"
 #: Hyphens that differ only in whether a line may break after them.
 HYPHENS = {"\u2010": "-", "\u2011": "-"}
 
@@ -122,9 +151,26 @@ def compiled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return width, into, marks
 
 
+@functools.cache
+def clusters() -> dict[tuple[int, int], int]:
+    """What pairs of outputs of the table become: CLUSTERS in terms of the letters that stand for their sets."""
+    width, into, _ = compiled()
+    one = lambda c: int(into[0][ord(c)])
+    pairs = {(one(a), ord(m)): one(z) for a, m, z in (line.split() for line in CLUSTERS.strip().split("\n"))}
+    if any(width[z] != 1 for z in pairs.values()) or any((z, m) in pairs and pairs[z, m] != z for (_, m), z in pairs.items()):
+        raise ValueError("a cluster's output would change again")
+    return pairs
+
+
 def same_look(texts: list[str]) -> list[str]:
-    """One form for each text: equal for texts that look the same, different for others. One pass over all characters."""
+    """One form for each text: equal for texts that look the same, different for others.
+
+    The text is read in grapheme clusters, the longest match first: joined pictures stay joined, a letter with a mark that CLUSTERS lists
+    becomes the letter it looks like, and of every other cluster each code point goes through the table, with marks in one order.
+    """
     width, into, marks = compiled()
+    if any("\u200d" in t for t in texts):
+        texts = [_PICTURES.sub(lambda m: m.group().replace("\u200d", JOINER), t) if "\u200d" in t else t for t in texts]
     codes = np.frombuffer("\x00".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
     n = width[codes]
@@ -139,14 +185,32 @@ def same_look(texts: list[str]) -> list[str]:
     first = np.cumsum(sizes + 1) - sizes - 1
     cuts = np.append(start, len(out))[np.minimum(first, len(start))]
     stops = np.append(start, len(out))[np.minimum(first + sizes, len(start))]
+    known = clusters()
+    over = np.flatnonzero(cc)
+    over = over[np.isin(out[over], sorted({m for _, m in known}))]
+    odd = np.unique(np.searchsorted(cuts, np.concatenate([wrong, over]), side="right") - 1).tolist()
     raw = out.tobytes()
     forms = [raw[4 * a : 4 * z].decode("utf-32-le", "surrogatepass") for a, z in zip(cuts.tolist(), stops.tolist())]
-    if len(wrong):  # marks out of order: rare, only these texts
-        for k in np.unique(np.searchsorted(cuts, wrong, side="right") - 1).tolist():
-            forms[k] = unicodedata.normalize("NFD", forms[k])
+    for k in odd:  # rare, only these texts
+        forms[k] = _with_clusters(unicodedata.normalize("NFD", forms[k]), known)
     return forms
 
 
+def _with_clusters(form: str, known: dict[tuple[int, int], int]) -> str:
+    """The form with each listed letter and mark, with other marks between or not, replaced by the letter it looks like."""
+
+    def cluster(m) -> str:
+        letter, rest = m.group()[0], m.group()[1:]
+        for x in rest:
+            z = known.get((ord(letter), ord(x)))
+            if z is not None:
+                letter, rest = chr(z), rest.replace(x, "", 1)
+        return letter + rest
+
+    return _MARKED.sub(cluster, form)
+
+
+_MARKED = regex.compile(r"\p{L}\p{M}+")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
 
@@ -177,7 +241,7 @@ def readable(form: str) -> str:
             last[0] = False
         return w.translate(to_latin) if last[0] else w
 
-    return unicodedata.normalize("NFC", _WORD.sub(word, form))
+    return unicodedata.normalize("NFC", _WORD.sub(word, form)).replace(JOINER, "\u200d")
 
 
 def one_form(records: DataFrame) -> DataFrame:
@@ -219,7 +283,7 @@ def same_looking_pairs(records: DataFrame) -> DataFrame:
     records it has, makes no pairs. Null and empty texts, and texts without a visible character, look like nothing.
     """
     blank = F.length(F.regexp_replace("text", r"[\p{Z}\p{C}\s]", "")) == 0
-    seen = looks(records.where(~blank))
+    seen = materialize(looks(records.where(~blank)))  # each text goes through the transducer once
     classes = seen.groupBy("look").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo <> hi").select("look")
     held = seen.join(classes, "look")
     kinds = held.groupBy("look", "bytes").agg(F.lit(1).alias("_")).drop("_")
@@ -228,3 +292,12 @@ def same_looking_pairs(records: DataFrame) -> DataFrame:
     ra, rb = (held.select(F.col("bytes").alias(f"bytes_{s}"), F.col("rec").alias(f"r{s}")) for s in "ab")
     both = links.join(ra, "bytes_a").join(rb, "bytes_b")
     return both.select(F.least("ra", "rb").alias("rec_a"), F.greatest("ra", "rb").alias("rec_b"))
+
+
+def look_classes(records: DataFrame) -> DataFrame:
+    """(rec, look_class, records, forms): for every record the smallest record that looks the same, how many do, and in how many different
+    texts. In proportion to the records, however many look the same. Null texts have no row; texts without a visible character look alike."""
+    seen = materialize(looks(records))
+    groups = seen.groupBy("look", "bytes").agg(F.min("rec").alias("rec"), F.count("*").alias("n"))
+    groups = groups.groupBy("look").agg(F.min("rec").alias("look_class"), F.sum("n").alias("records"), F.count("*").alias("forms"))
+    return seen.join(groups, "look").select("rec", "look_class", "records", "forms")

@@ -1,6 +1,6 @@
 import unicodedata
 
-from attestra.llm.lookalike import one_form, readable, same_look, same_looking_pairs
+from attestra.llm.lookalike import look_classes, one_form, readable, same_look, same_looking_pairs
 
 BASE = "Ещё один текст № 5: résumé, код URL и ёлка; MIDI of words."
 
@@ -53,3 +53,24 @@ def test_pairs_and_forms(spark):
     forms = {r["rec"]: r["form"] for r in one_form(df).collect()}
     assert forms["d3"] is None and forms["d5"] == "" and forms["s2"] == BASE
     assert same_looking_pairs(df.where("rec = 'x'")).count() == 0
+
+
+def test_clusters_of_several_code_points():
+    same = [("i\u0307x", "іx"), ("ı\u0307", "i"), ("о\u0338re", "øre"), ("l\u0338\u0301", "ł\u0301"), ("l\u0301\u0338", "ł\u0301"), ("ɡo", "go"), ("ԁog", "dog"), ("һello", "hello"), ("ab\u200dc", "abc")]
+    for a, b in same:
+        assert same_look([a])[0] == same_look([b])[0], (a, b)
+    other = [("👩\u200d👩\u200d👧", "👩👩👧"), ("İ", "I"), ("ї", "і"), ("ø", "o"), ("o\u0308", "o"), ("👍🏽", "👍")]
+    for a, b in other:
+        assert same_look([a])[0] != same_look([b])[0], (a, b)
+    assert same_look(["👩\ufe0f\u200d👧"])[0] == same_look(["👩\u200d👧"])[0]
+    assert readable(same_look(["👩\u200d👧 dog"])[0]) == "👩\u200d👧 dog"
+    assert same_look(["x", "", "о\u0338", "y"]) == [same_look([t])[0] for t in ("x", "", "ø", "y")]
+    for form in ("о\u0338re", "i\u0307", "👩\u200d👧"):
+        once = same_look([form])[0]
+        assert same_look([once])[0] == once
+
+
+def test_classes_are_in_proportion_to_records(spark):
+    rows = [("d1", "abc"), ("d2", "аbc"), ("d3", "abc"), ("s4", "abd"), ("d5", None), ("d6", ""), ("d7", "\u200b")]
+    got = {r["rec"]: (r["look_class"], r["records"], r["forms"]) for r in look_classes(spark.createDataFrame(rows, "rec string, text string")).collect()}
+    assert got == {"d1": ("d1", 3, 2), "d2": ("d1", 3, 2), "d3": ("d1", 3, 2), "s4": ("s4", 1, 1), "d6": ("d6", 2, 2), "d7": ("d6", 2, 2)}
