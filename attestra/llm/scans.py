@@ -92,6 +92,27 @@ def skeleton(word: str) -> str:
     return word.translate(_SKELETON)
 
 
+def _changes(word: str, was: str, limit: int) -> int | None:
+    """The least number of confusions that turn `was` into `word`, up to limit; None if there are more, or other differences."""
+    reach = {(0, 0)}  # places in both words that can be come to with so many changes
+    for n in range(limit + 1):
+        open_, after = list(reach), set()
+        while open_:
+            i, j = open_.pop()
+            while i < len(word) and j < len(was) and word[i] == was[j]:
+                for size in (1, 2):
+                    if i + size <= len(word):
+                        after |= {(i + size, j + len(w)) for w in TABLE.get(word[i : i + size], ()) if was.startswith(w, j)}
+                i, j = i + 1, j + 1
+            if i == len(word) and j == len(was):
+                return n
+            for size in (1, 2):
+                if i + size <= len(word):
+                    after |= {(i + size, j + len(w)) for w in TABLE.get(word[i : i + size], ()) if was.startswith(w, j)}
+        reach = after
+    return None
+
+
 def core(token: str) -> str:
     """The word in a token: lower case, without marks around it."""
     return token.strip(_EDGES).lower()
@@ -124,7 +145,7 @@ class Speller:
         alike: dict[str, list[str]] = {}
         for w in known:
             alike.setdefault(skeleton(w), []).append(w)
-        self.alike = dict.fromkeys(alike)
+        self.alike = {k: tuple(ws) for k, ws in alike.items()}
         self.rare = self.total * math.exp(-RARE_COST)
         self.common = LEAST_COMMON
         self.known = known
@@ -145,32 +166,17 @@ class Speller:
         new = Speller.__new__(Speller)
         new.__dict__.update(self.__dict__)
         new.known = ChainMap({w: n for w, n in small.known.items() if w not in self.known}, self.known)
-        new.alike = ChainMap(dict.fromkeys(small.alike), self.alike)
+        new.alike = ChainMap({k: tuple(dict.fromkeys((*ws, *self.alike.get(k, ())))) for k, ws in small.alike.items()}, self.alike)
         new.remembered, new.kept = {}, {}
         return new
 
     def variants(self, word: str, changes: int = 2) -> list[tuple[str, int]]:
-        """Words that `word` may be a misreading of, with the number of changes; every digit or sign in it is changed."""
-        found: dict[str, int] = {}
-        grow = {word: 0}
-        for n in range(1, max(changes, len(_DIGIT.findall(word))) + 1):
-            after: dict[str, int] = {}
-            for w in grow:
-                digits = [m.start() for m in _DIGIT.finditer(w)]
-                # digits and signs first: they can't stay
-                for i in [max(0, digits[0] - (w[max(0, digits[0] - 1) : digits[0] + 1] in TABLE))] if digits else range(len(w)):
-                    for size in (2, 1):
-                        for was in TABLE.get(w[i : i + size], ()) if len(w[i : i + size]) == size else ():
-                            v = w[:i] + was + w[i + size :]
-                            if v not in after and v not in found:
-                                after[v] = n
-            for v in after:
-                if v in self.known and not _DIGIT.search(v):
-                    found.setdefault(v, n)
-            if found and not any(_DIGIT.search(v) for v in after) or len(after) > 400:
-                break
-            grow = after
-        return list(found.items())
+        """Words that `word` may be a misreading of, with the number of changes; every digit or sign in it is changed.
+
+        A misreading has its word's skeleton, so the known words of that skeleton are all there are; each is aligned with `word`."""
+        limit = max(changes, len(_DIGIT.findall(word)))
+        found = ((v, _changes(word, v, limit)) for v in self.alike.get(skeleton(word), ()) if v != word and v in self.known and not _DIGIT.search(v))
+        return [(v, n) for v, n in found if n is not None]
 
     def cost(self, word: str) -> tuple[float, str]:
         """Cost of the cheapest reading of a word (without marks, in lower case), and that reading."""
