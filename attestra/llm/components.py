@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from attestra.plans.runtime import discard, materialize
 
 #: A vertex with more neighbours than this is joined by broadcast. There are at most 2 * edges / HOT_DEGREE such
-#: vertices, and never more than HOT_MOST are broadcast; the rest take the shuffle join, which AQE splits where skewed.
+#: vertices, and the HOT_MOST of most neighbours are broadcast; any others take the shuffle join, which AQE splits where skewed.
 HOT_DEGREE = 100_000
 HOT_MOST = 100_000
 
@@ -15,11 +15,10 @@ HOT_MOST = 100_000
 def _with_minimum(big: DataFrame, minima: DataFrame, key: str) -> DataFrame:
     """big joined with minima (one row per key, column n = its rows in big); hot keys don't go through one task."""
     hot = minima.where(F.col("n") > HOT_DEGREE)
-    count = hot.limit(HOT_MOST + 1).count()
-    if not 0 < count <= HOT_MOST:
+    if hot.isEmpty():
         return big.join(minima, key)
-    hot = F.broadcast(hot)
-    cold = big.join(hot.select(key), key, "left_anti").join(minima.where(F.col("n") <= HOT_DEGREE), key)
+    hot = F.broadcast(hot.orderBy(F.desc("n"), key).limit(HOT_MOST))
+    cold = big.join(hot.select(key), key, "left_anti").join(minima.join(hot.select(key), key, "left_anti"), key)
     return cold.unionByName(big.join(hot, key))
 
 
