@@ -10,6 +10,8 @@ from attestra.plans.runtime import materialize, ship
 
 #: Pieces that one worker packs by itself; every shard leaves a few containers part full.
 SHARD = 100_000
+#: Capacities that one call packs for, at most; each is a packing of all items.
+MOST_CAPACITIES = 1000
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -67,6 +69,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def harmonic_packing(items: DataFrame, id: str, size: str, capacities: DataFrame, shard: int = SHARD) -> DataFrame:
     """(capacity_id, container, id, piece, n_tokens, unused): every piece's container and what that container has left.
 
+    Shards are independent: each worker packs the classes of its own, and nothing passes between workers.
     An item longer than the capacity is cut into full pieces and a rest, numbered from 0; all others stay whole. Items
     are dealt by hash to shards of about `shard` pieces, which are packed on their own. Containers are named by shard
     and number. Items without size (null, 0 or less) and capacities under 1 have no rows; repeated ids are separate
@@ -76,9 +79,13 @@ def harmonic_packing(items: DataFrame, id: str, size: str, capacities: DataFrame
     caps = capacities.where("max_tokens >= 1").select("capacity_id", F.col("max_tokens").cast("long").alias("c")).distinct()
     sized = materialize(items.where(F.col(size) > 0).select(F.col(id).alias("id"), F.col(size).cast("long").alias("n")))
     count = F.floor((F.col("n") - 1) / F.col("c"))
-    # capacities are a table of a few rows by its nature; joined by broadcast only if it is so
-    few = caps.limit(1001).count() <= 1000
-    pieces = sized.crossJoin(F.broadcast(caps)) if few else sized.join(caps)
+    # a row for every capacity of an item is the result; capacities are a table of settings, and its size is checked
+    sizes = [(r["capacity_id"], r["c"]) for r in caps.limit(MOST_CAPACITIES + 1).collect()]
+    if len(sizes) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
+    named = caps.schema["capacity_id"].dataType
+    each = F.array(*[F.struct(F.lit(i).cast(named).alias("capacity_id"), F.lit(c).cast("long").alias("c")) for i, c in sizes]) if sizes else F.array().cast(f"array<struct<capacity_id:{named.simpleString()},c:bigint>>")
+    pieces = sized.select("id", "n", F.inline(each))
     whole = pieces.agg(F.sum(count + 1).alias("n"), F.count_distinct("capacity_id").alias("k")).first()
     shards = max(1, round((whole["n"] or 0) / max(1, whole["k"]) / shard))
     pieces = pieces.select(
