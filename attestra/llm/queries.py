@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from attestra.plans.runtime import table
 
@@ -37,6 +37,19 @@ def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(records(spark, sf_dir, "d", "c")).coverage()
 
 
+def p1_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.spans import SharedSpans
+
+    return SharedSpans(records(spark, sf_dir, "d", "c")).shared()
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.neighbours import vector_classes
+
+    classes = vector_classes(table(spark, sf_dir, "corpus_chunks"), "id", "embedding_json")
+    return classes.select(F.col("id").alias("chunk_id"), F.col("point").alias("class_id"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_similar(spark, sf_dir).select("chunk_a", "chunk_b")
 
@@ -110,6 +123,12 @@ def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form(records(spark, sf_dir, "d", "s"))
 
 
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestra.llm.lookalike import look_classes
+
+    return look_classes(records(spark, sf_dir, "d", "s"))
+
+
 def _counted(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     from attestra.llm.tokens import token_counts
 
@@ -129,6 +148,21 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.groupBy("capacity_id").agg(F.count("*").alias("containers"), F.sum("unused").alias("unused"), (F.sum("unused") / total).alias("unused_share"))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity, what must hold of any packing: documents with a token and none of them missing, no container over its capacity or empty,
+    unused space as reported, no document cut that fits a container, and every cut one in pieces that are full but for the last."""
+    bins = p8_containers(spark, sf_dir).join(table(spark, sf_dir, "pack_capacities"), "capacity_id")
+    held = bins.groupBy("capacity_id", "max_tokens", "container").agg(F.sum("n_tokens").alias("used"), F.min("unused").alias("least"), F.max("unused").alias("most"))
+    held = held.groupBy("capacity_id").agg(
+        F.count_if((F.col("used") > F.col("max_tokens")) | (F.col("used") < 1)).alias("misfilled"), F.count_if((F.col("least") != F.col("most")) | (F.col("used") + F.col("least") != F.col("max_tokens"))).alias("misreported"))
+    each = bins.groupBy("capacity_id", "max_tokens", "doc_id").agg(
+        F.count("*").alias("pieces"), F.count_distinct("piece").alias("places"), F.max("piece").alias("last"), F.sum("n_tokens").alias("n"),
+        F.count_if(F.col("n_tokens") < F.col("max_tokens")).alias("short"))
+    wrong = (F.col("pieces") != F.ceil(F.col("n") / F.col("max_tokens"))) | (F.col("places") != F.col("pieces")) | (F.col("last") != F.col("pieces") - 1) | (F.col("short") > 1)
+    each = each.groupBy("capacity_id").agg(F.count("*").alias("documents"), F.count_if(wrong).alias("miscut"))
+    return each.join(held, "capacity_id")
+
+
 def _curriculum(spark: SparkSession, sf_dir: str):
     from attestra.llm.mixing import Curriculum
 
@@ -147,6 +181,18 @@ def p9_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curriculum(spark, sf_dir).order()
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source of the targets: whether it gives its target share of the tokens to within a document (its own, and its share of one of every
+    other source), and no document is used more often than it may be."""
+    mix = _curriculum(spark, sf_dir)
+    most = mix.usage().groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    shares = mix.shares().join(table(spark, sf_dir, "mix_targets").select("source", "max_repeats"), "source").join(most, "source")
+    whole = Window.partitionBy(F.lit(0))  # a row a source
+    total, slack = F.sum("used_tokens").over(whole), F.sum("longest").over(whole)
+    met = F.abs(F.col("used_tokens") - F.col("target_share") * total) <= F.col("longest") + F.col("target_share") * slack + 1
+    return shares.select("source", "target_share", met.alias("share_met"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestra.llm.repetition import repetitive
 
@@ -159,6 +205,17 @@ def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: Every stretch of 300 characters of every record.
+P1_SQL = """
+WITH recs AS (SELECT 'd' || doc_id AS rec, text FROM documents UNION ALL SELECT 'c' || id, content FROM corpus_chunks),
+ grams AS (SELECT rec, hash(substr(text, i, 300)) AS h, i FROM recs, unnest(range(1, length(text) - 298)) AS t(i))
+"""
+P1_COVERAGE_SQL = P1_SQL + """, held AS (SELECT h FROM grams GROUP BY h HAVING count(DISTINCT rec) > 1),
+ starts AS (SELECT rec, least(300, coalesce(lead(i) OVER (PARTITION BY rec ORDER BY i) - i, 300)) AS covers FROM grams JOIN held USING (h)),
+ shared AS (SELECT rec, sum(covers)::BIGINT AS s FROM starts GROUP BY rec)
+SELECT rec, coalesce(length(text), 0) AS n_chars, coalesce(s, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(s, 0) / length(text) ELSE 0.0 END AS shared_share
+FROM recs LEFT JOIN shared USING (rec)
+"""
 P3_SQL = """
 WITH held AS (SELECT doc_id, segment_index, max(tfidf_score) AS a, max(bm25_score) AS b FROM segment_matches WHERE doc_id IS NOT NULL AND segment_index IS NOT NULL GROUP BY 1, 2),
  more AS (SELECT doc_id, chunk_index AS segment_index, max(semantic_score) AS c, max(rerank_score) AS d FROM chunk_analyses GROUP BY 1, 2),
@@ -178,14 +235,41 @@ WITH RECURSIVE links AS (SELECT source_document_id AS a, target_document_id AS b
 SELECT doc_id, min(other) AS group_id FROM reach GROUP BY doc_id
 """
 
+P2_CLASSES_SQL = r"""
+WITH parsed AS (SELECT id, try_cast(try_cast(embedding_json AS JSON) AS DOUBLE[]) AS v, try_cast(embedding_json AS JSON) AS j FROM corpus_chunks WHERE embedding_json IS NOT NULL),
+ usable AS (SELECT id, v FROM parsed WHERE json_type(j) = 'ARRAY' AND len(v) = 64 AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x)))
+   AND list_bool_or(list_transform(v, lambda x: x <> 0)) AND list_bool_and(list_transform(json_extract(j, '$[*]'), lambda x: json_type(x) IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT')))),
+ scaled AS (SELECT id, list_transform(v, lambda x: x / list_max(list_transform(v, lambda y: abs(y)))) AS v FROM usable),
+ unit AS (SELECT id, list_transform(v, lambda x: (x / sqrt(list_inner_product(v, v)))::FLOAT) AS u FROM scaled)
+SELECT id AS chunk_id, min(id) OVER (PARTITION BY u) AS class_id FROM unit
+"""
+P8_CHECKS_SQL = """
+SELECT capacity_id, (SELECT count(*) FROM documents WHERE length(text) > 0) AS documents, 0 AS miscut, 0 AS misfilled, 0 AS misreported FROM pack_capacities
+"""
+#: The rule itself: five-word runs that began earlier in the text, counted place by place.
+P10_SQL = r"""
+WITH split AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' '),
+   lambda w: lower(regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', ''))), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+ runs AS (SELECT doc_id, len(w) AS n, i, array_to_string(w[i:i + 4], ' ') AS r FROM split, unnest(range(1, len(w) - 3)) AS t(i)),
+ again AS (SELECT doc_id, n, i FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, r ORDER BY i) > 1),
+ marked AS (SELECT DISTINCT doc_id, n, i + k AS place FROM again, range(5) AS u(k))
+SELECT doc_id FROM marked GROUP BY doc_id, n HAVING count(*) >= 0.3 * n
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p2_found, p2_similar, p3_found, p3_ranking, p4_found, p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_forms, p8_containers, p8_fill, p9_usage, p9_shares, p9_order, p10_found, p10_repetition)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p1_coverage, p1_shared, p2_found, p2_similar, p2_classes, p3_found, p3_ranking, p4_found, p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_forms, p7_classes, p8_containers, p8_fill, p8_checks, p9_usage, p9_shares, p9_order, p9_checks, p10_found, p10_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": P1_SQL + "SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM grams a JOIN grams b ON a.h = b.h AND a.rec < b.rec",
+        "p1_coverage": P1_COVERAGE_SQL,
         "p3_ranking": P3_SQL + "SELECT * FROM net",
         "p3_found": P3_SQL + "SELECT doc_id, arg_max(segment_index, (net_flow, -segment_index)) AS segment_index FROM net GROUP BY doc_id HAVING count(*) >= 3",
         "p4_found": P4_SQL,
+        "p2_classes": P2_CLASSES_SQL,
+        "p8_checks": P8_CHECKS_SQL,
+        "p9_checks": "SELECT source, target_share, true AS share_met, true AS repeats_kept FROM mix_targets",
+        "p10_found": P10_SQL,
     }

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from attestra.plans.runtime import materialize, ship
@@ -17,6 +18,8 @@ ROWS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 #: The sketch has CELLS_PER_WINDOW cells a row for each window expected, at most 2 ** MOST_BITS (one bit a cell once
 #: merged: 64 MB a row). Beyond that more windows pass the filter, but none is lost.
 CELLS_PER_WINDOW, LEAST_BITS, MOST_BITS, BLOCKS = 8, 20, 29, 256
+#: Partitions whose lists of cells one task merges to a sketch of fixed size.
+FAN = 64
 PIECE = 1 << 19
 #: A window held by more texts than this is compared by exact sub-windows rather than pair by pair.
 HOT_WINDOW = 64
@@ -117,6 +120,7 @@ def _sketch(length: int, gram: int, bits: int):
     """Per partition and block of cells, which cells were hit once (listed once) or more often (listed twice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = TaskContext.get().partitionId() // FAN
         values = [window_hashes(b.column(0).to_pylist(), length, gram)[2] for b in batches]
         values = np.concatenate(values) if values else np.empty(0, np.uint64)
         if not len(values):
@@ -130,22 +134,46 @@ def _sketch(length: int, gram: int, bits: int):
             packed = [zlib.compress(np.diff(x, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in local]
             held = [k for k, x in enumerate(local) if len(x)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row * BLOCKS + k for k in held], pa.int32()), pa.array([packed[k] for k in held], pa.binary())], ["block", "cells"])
+                [pa.array([row * BLOCKS + k for k in held], pa.int32()), pa.array([group] * len(held), pa.int32()), pa.array([packed[k] for k in held], pa.binary())],
+                ["block", "part", "cells"])
 
     return run
 
 
-def _merge(bits: int):
+def _pack(block: int, some: np.ndarray, many: np.ndarray) -> pa.Table:
+    bits = zlib.compress(np.packbits(np.concatenate([some, many])).tobytes(), 1)
+    return pa.table([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], ["block", "cells"])
+
+
+def _merge_lists(bits: int):
+    """The lists of at most FAN partitions, as two bits a cell: hit, and hit more than once."""
+
     def run(found: pa.Table) -> pa.Table:
-        size = (1 << bits) // BLOCKS
-        hits = np.zeros(size, np.uint8)
+        hits = np.zeros((1 << bits) // BLOCKS, np.uint8)
         for packed in found.column("cells").to_pylist():
             delta = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
             cells = np.cumsum(delta, dtype=np.uint32)
             again = cells[1:][cells[1:] == cells[:-1]]
-            hits[np.unique(cells)] = np.minimum(hits[np.unique(cells)] + 1, 2)
+            one = np.unique(cells)
+            hits[one] = np.minimum(hits[one] + 1, 2)
             hits[again] = 2
-        return pa.table([pa.array([found.column("block")[0].as_py()], pa.int32()), pa.array([zlib.compress(np.packbits(hits > 1).tobytes(), 1)], pa.binary())], ["block", "cells"])
+        return _pack(found.column("block")[0].as_py(), hits > 0, hits > 1)
+
+    return run
+
+
+def _merge_bits(bits: int):
+    """Of one block, the bits of all groups of partitions together; sketches of a fixed size, read one after another."""
+
+    def run(found: pa.Table) -> pa.Table:
+        size = (1 << bits) // BLOCKS
+        some, many = np.zeros(size, bool), np.zeros(size, bool)
+        for packed in found.column("cells").to_pylist():
+            both = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8))[: 2 * size].astype(bool)
+            many |= both[size:] | (some & both[:size])
+            some |= both[:size]
+        return pa.table(
+            [pa.array([found.column("block")[0].as_py()], pa.int32()), pa.array([zlib.compress(np.packbits(many).tobytes(), 1)], pa.binary())], ["block", "cells"])
 
     return run
 
@@ -218,7 +246,7 @@ class SharedSpans:
     shared. Two passes over the texts; only windows that the sketch takes for repeated are shuffled.
 
     members (cls, rec), matches (cls_a, cls_b, at_a, at_b, n: classes in either order and equal wording around one
-    chosen window that few texts hold), hot_places (cls, a, z: stretches shared around the others), pairs(), spans(), coverage().
+    chosen window that few texts hold), hot_places (cls, a, z: stretches shared around the others), pairs(), shared(), spans(), coverage().
     """
 
     def __init__(self, records: DataFrame, length: int = 300, gram: int | None = None):
@@ -231,8 +259,9 @@ class SharedSpans:
         expected = 2 * chars / (length - gram + 2) + 1
         bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(expected * CELLS_PER_WINDOW)))))
         merged = (
-            texts.select("text").mapInArrow(_sketch(length, gram, bits), "block int, cells binary")
-            .groupBy("block").applyInArrow(_merge(bits), "block int, cells binary"))
+            texts.select("text").mapInArrow(_sketch(length, gram, bits), "block int, part int, cells binary")
+            .groupBy("block", "part").applyInArrow(_merge_lists(bits), "block int, cells binary")
+            .groupBy("block").applyInArrow(_merge_bits(bits), "block int, cells binary"))
         rows = [np.zeros(1 << bits >> 3, np.uint8) for _ in ROWS]
         size = (1 << bits) // BLOCKS >> 3
         for r in merged.toLocalIterator():  # at most 3 rows of 2 ** MOST_BITS bits in all, whatever the input
@@ -251,16 +280,29 @@ class SharedSpans:
         self.hot_keys = stretches.select("key", "key2", "cls").distinct()
         self.matches = materialize(self._pairwise(few, "hash", gram))
 
-    def hot_pairs(self) -> DataFrame:
-        """(cls_a, cls_b), each once: classes that share a stretch around a window held by many texts. Of the stretches that the
-        same classes hold, which a long passage has by the hundred, one is joined."""
+    def _kept_keys(self) -> DataFrame:
+        """(key, key2, cls): stretches that many texts hold. Of those that the same classes hold, which a long passage has by the hundred, one is kept."""
         held = self.hot_keys.groupBy("key", "key2").agg(
             F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y"))
         one = held.groupBy("n", "x", "y").agg(F.min(F.struct("key", "key2")).alias("k")).select("k.key", "k.key2")
-        kept = self.hot_keys.join(one, ["key", "key2"])
+        return self.hot_keys.join(one, ["key", "key2"])
+
+    def hot_pairs(self) -> DataFrame:
+        """(cls_a, cls_b), each once: classes that share a stretch around a window held by many texts."""
+        kept = self._kept_keys()
         a, b = (kept.select("key", "key2", F.col("cls").alias(f"cls_{s}")) for s in "ab")
         return a.join(b, ["key", "key2"]).where("cls_a < cls_b").select("cls_a", "cls_b").distinct()
 
+    def shared(self) -> DataFrame:
+        """(passage, rec), each once: records with the same passage share a stretch. Says what pairs() says, in proportion to the text: equal texts
+        are one passage, of whose records the smallest stands for all in the others; a stretch that many texts hold is one passage;
+        of what few texts hold, each two are one."""
+        spokesmen = self.members.groupBy("cls").agg(F.min("rec").alias("rec"), F.count("*").alias("n"))
+        equal = self.members.join(spokesmen.where("n > 1").select("cls"), "cls").select(F.hex("cls").alias("passage"), "rec")
+        few = self.matches.select(F.explode(F.array("cls_a", "cls_b")).alias("cls"), F.concat_ws("-", F.lit("few"), F.hex("cls_a"), F.hex("cls_b")).alias("passage")).distinct()
+        many = self._kept_keys().select("cls", F.concat_ws("-", F.lit("many"), F.hex("key"), F.hex("key2")).alias("passage"))
+        return equal.unionByName(few.unionByName(many).join(spokesmen, "cls").select("passage", "rec"))
+
     def _pairwise(self, windows: DataFrame, key: str, gram: int) -> DataFrame:
         side = lambda s: windows.select(key, *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "pos", "ahead", "after")])
         both = side("a").join(side("b"), key).where("cls_a < cls_b")

@@ -1,5 +1,10 @@
 import random
+import zlib
 
+import numpy as np
+import pyarrow as pa
+
+from attestra.llm import spans
 from attestra.llm.spans import SharedSpans
 
 LETTERS = "abcdefghij klmnop"
@@ -71,3 +76,38 @@ def test_hot_passage_makes_no_pairs_of_places(spark):
 def test_empty(spark):
     shared = SharedSpans(spark.createDataFrame([], "rec string, text string"))
     assert shared.pairs().count() == shared.spans().count() == shared.coverage().count() == 0
+
+
+def test_shared_passages_say_what_pairs_say(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice(LETTERS) for _ in range(n))
+    long = text(90)
+    rows = make(3, 60) + [(f"h{i:03}", text(30) + long + text(20)) for i in range(70)] + [(f"e{i}", long) for i in range(5)]
+    shared = SharedSpans(spark.createDataFrame(rows, "rec string, text string"), 60)
+    got = [tuple(r) for r in shared.shared().collect()]
+    assert len(got) == len(set(got)) and len(got) < 1500
+    holders: dict[str, list[str]] = {}
+    for p, r in got:
+        holders.setdefault(p, []).append(r)
+    same: dict[str, list[str]] = {}
+    for r, t in rows:
+        same.setdefault(t or r, []).append(r)
+    alike = {min(rs): rs for rs in same.values()}
+    pairs = set()
+    for p, rs in holders.items():
+        full = [x for r in rs for x in (alike[r] if "-" in p else [r])]
+        pairs |= {(a, b) for a in full for b in full if a < b}
+    assert pairs == brute(rows, 60)
+
+
+def test_sketches_of_parts_add_up():
+    bits = 16
+    rng = np.random.default_rng(1)
+    size = (1 << bits) // spans.BLOCKS
+    lists = [np.sort(rng.choice(size, 30)).astype(np.uint32) for _ in range(6)]
+    pack = lambda x: zlib.compress(np.diff(x, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    table = lambda rows: pa.table({"block": pa.array([3] * len(rows), pa.int32()), "cells": pa.array(rows, pa.binary())})
+    parts = [spans._merge_lists(bits)(table([pack(x) for x in some])).column("cells")[0].as_py() for some in (lists[:2], lists[2:3], lists[3:])]
+    merged = spans._merge_bits(bits)(table(parts)).column("cells")[0].as_py()
+    got = np.unpackbits(np.frombuffer(zlib.decompress(merged), np.uint8))[:size]
+    assert (got == (np.bincount(np.concatenate(lists), minlength=size) > 1)).all()
