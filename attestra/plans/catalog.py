@@ -191,7 +191,21 @@ def vector_topk(spark, d):
 @query(f"SELECT q.vec_id AS query_id, e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % {EVERY} = 0 AND {_COS} >= 0.3")
 def vector_threshold_search(spark, d):
     e = table(spark, d, "embeddings")
-    return vectors.top_k(e.where(F.col("vec_id") % EVERY == 0), e, "vec_id", "embedding", None, 0.3).select("query_id", "id", F.round("score", 6).alias("score"))
+    return vectors.at_least(e.where(F.col("vec_id") % EVERY == 0), e, "vec_id", "embedding", 0.3).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_COS}, 6) AS score,
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 9) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id
+ WHERE q.vec_id % {EVERY} = 0 AND e.label IN (1, 3, 5) AND {_COS} >= 0.1) WHERE rank <= 5""")
+def vector_topk_filtered(spark, d):
+    e = table(spark, d, "embeddings")
+    return vectors.top_k(e.where(F.col("vec_id") % EVERY == 0), e, "vec_id", "embedding", 5, 0.1, among=e.where("label in (1, 3, 5)")).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT q.vec_id AS query_id, coalesce(bool_or({_COS} >= 0.4), false) AS found FROM embeddings q LEFT JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % {EVERY} = 0 GROUP BY 1")
+def vector_exists_above(spark, d):
+    e = table(spark, d, "embeddings")
+    return vectors.exists_above(e.where(F.col("vec_id") % EVERY == 0), e, "vec_id", "embedding", 0.4)
 
 
 _CHUNKS = "(SELECT DISTINCT doc_id, chunk_index, copy_score, semantic_score, rerank_score, ai_score, source_label FROM chunk_analyses)"

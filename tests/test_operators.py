@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.operators import scoring
-from attestra.operators.front_matter import strip_front_matter, without_front_matter
-from attestra.operators.vectors import cosine, top_k
+from attestra.operators.front_matter import note, without_front_matter
+from attestra.operators.vectors import at_least, cosine, exists_above, top_k
 from attestra.sources.files import decode_text, read_file, read_uploads, table_text
 from attestra.sources.sinks import replace_partitions, upserted
 from attestra.streaming.runner import on_batches, windowed_counts
@@ -17,20 +17,25 @@ BODY = "Первая глава рассказывает о предмете р
 
 def test_front_matter(spark):
     whole = f"Министерство образования\nКафедра систем\n\nСодержание\nВведение 3\n1 Обзор 5\n\nВВЕДЕНИЕ\n{BODY}\n--- Страница 3 ---\n{BODY}\n\nОглавление\nОбзор 3\n\nКонец работы."
-    body, removed, marker = strip_front_matter(whole)
-    assert body.startswith("ВВЕДЕНИЕ\n" + BODY.strip()[:20]) and marker == "Введение" and removed > 0
-    assert "Страница" not in body and "Оглавление" not in body and body.endswith("Конец работы.")
     short = "Министерство образования\n\nВВЕДЕНИЕ\nКороткая, но всё же больше сорока знаков строка.\n\nКонец."
-    assert strip_front_matter(short) == (short, 0, "")
-    assert strip_front_matter("Введение 5\n\n" + BODY) == ("Введение 5\n\n" + BODY, 0, "")
-    assert strip_front_matter(None) == (None, 0, "") and strip_front_matter(" ") == (" ", 0, "")
     lined = "\n".join(["Кафедра систем", "Содержание", "Обзор 3", "Вывод 9", "Введение", *[BODY.strip()] * 4])
-    assert strip_front_matter(lined)[2] == "Введение"
     chapter = "Титул\n\n1. Обзор предметной области\n" + BODY
-    assert strip_front_matter(chapter)[2] == "1. Обзор предметной области"
-    df = spark.createDataFrame([(1, whole), (2, None)], "id long, text string")
+    listed = f"Титул\n\n1 Обзор\t7\n1 Метод\n{BODY}\n\nСодержание\n{BODY}"
+    texts = [whole, None, short, "Введение 5\n\n" + BODY, " ", lined, chapter, "", listed, "1 Обзор 5\n\nТекст " + BODY, "x" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("body", F.lit(1))
     got = {r["id"]: r for r in without_front_matter(df, "id", "text").collect()}
-    assert got[1]["removed_chars"] == removed and got[2]["body"] is None
+    body = got[0]["body"]
+    assert body.startswith("ВВЕДЕНИЕ\n" + BODY.strip()[:20]) and got[0]["body_start_marker"] == "Введение" and got[0]["removed_chars"] == len(whole) - len(body)
+    assert "Страница" not in body and "Оглавление" not in body and body.endswith("Конец работы.")
+    for i in (1, 2, 3, 4, 7, 9, 10):
+        assert tuple(got[i])[1:] == (texts[i], 0, ""), i
+    assert got[5]["body_start_marker"] == "Введение" and got[5]["body"].startswith("Введение\nПервая")
+    assert got[6]["body_start_marker"] == "1. Обзор предметной области"
+    # the search starts at a contents line if a chapter with text follows in the same paragraph; service parts after it go
+    assert got[8]["body_start_marker"] == "1 Обзор\t7" and "Содержание" not in got[8]["body"]
+    said = spark.createDataFrame([(5, "Введение"), (0, "")], "n int, m string").select(note(F.col("n"), F.col("m")).alias("x")).collect()
+    assert [r["x"] for r in said] == ["удалено 5 симв., начало с «Введение»", ""]
+    assert without_front_matter(df.where("id < 0"), "id", "text").count() == 0
 
 
 def test_decisions(spark):
@@ -60,7 +65,7 @@ def test_targets_and_ai(spark):
 def test_vector_search(spark, monkeypatch):
     from attestra.operators import vectors
 
-    monkeypatch.setattr(vectors, "DATA_BLOCK", 30)
+    monkeypatch.setattr(vectors, "PASS_BYTES", 2000)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(100, 8)).round(3)
     x[7] = x[3]
@@ -72,7 +77,12 @@ def test_vector_search(spark, monkeypatch):
         s = n @ n[q]
         best = sorted((j for j in range(100) if j != q), key=lambda j: (-round(s[j], 9), j))[:3]
         assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == best
-    over = top_k(df, df, "id", "v", None, 0.999).collect()
+    over = at_least(df, df, "id", "v", 0.999).collect()
+    found = {r["query_id"]: r["found"] for r in exists_above(df, df, "id", "v", 0.999).collect()}
+    assert len(found) == 103 and {i for i, f in found.items() if f} == {3, 7}
+    some = top_k(df.where("id = 3"), df, "id", "v", 3, 0.0, among=df.where("id < 50")).collect()
+    s = n @ n[3]
+    assert [r["id"] for r in sorted(some, key=lambda r: r["rank"])] == sorted((j for j in range(50) if j != 3 and s[j] >= 0), key=lambda j: (-round(s[j], 9), j))[:3]
     assert {(r["query_id"], r["id"]) for r in over} == {(3, 7), (7, 3)}
     pair = df.where("id = 3").crossJoin(df.where("id in (7, 201, 202)").select(F.col("id").alias("j"), F.col("v").alias("w")))
     assert {r["j"]: r["c"] and round(r["c"], 9) for r in pair.select("j", cosine(F.col("v"), F.col("w")).alias("c")).collect()} == {7: 1.0, 201: None, 202: None}
