@@ -76,6 +76,16 @@ def extension(c: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), r"[^/\\]*[^/\\.](\.[^./\\]+)$", 1))
 
 
+def stem(c: Column) -> Column:
+    """File name without its folder and extension, or ''."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"^.*[/\\]", ""), r"(?<=.)\.[^.]+$", "")
+
+
+def falsy_or(*cs: Column) -> Column:
+    """The first number that is neither null nor 0; else the last one as it is."""
+    return F.coalesce(*[F.nullif(c, F.lit(0).cast("double")) for c in cs[:-1]], cs[-1])
+
+
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """Share in percent, rounded half to even; 0 where the whole is 0."""
     return F.when(whole == 0, 0.0).otherwise(F.bround(part / whole * 100, digits))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attestra.plans.runtime import ship
 
@@ -68,16 +68,21 @@ def chunk_texts(df: DataFrame, id: str, text: str, size: int = 1000, overlap: in
 
 
 def thin_evenly(df: DataFrame, group: str, index: str, most: int) -> DataFrame:
-    """At most `most` rows of each group, evenly spread over its index (0 to n - 1), first and last included."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
+    """At most `most` rows of each group, evenly spread over its index (0 to n - 1), first and last included. A group is a text's parts; one of very many
+    rows is better counted apart and given to evenly_spread."""
+    sized = df.withColumn("_n", F.count("*").over(Window.partitionBy(group)))
+    return sized.where(evenly_spread(F.col(index), F.col("_n"), most)).drop("_n")
+
+
+def evenly_spread(index: Column, n: Column, most: int) -> Column:
+    """Whether the index (0 to n - 1) is one of `most` that are evenly spread, first and last included; all are if most is 0 or less."""
     if most == 1:
-        return df.where(F.col(index) == 0)
+        return index == 0
     if most <= 0:
-        return df
-    rows = df.join(sizes, group)
-    step = (F.col("_n") - 1) / F.lit(most - 1)
-    # the row is kept if some i of 0 .. most - 1 rounds (half to even) to its index: i is about index / step
-    guess = F.floor(F.col(index) / step)
-    near = [F.bround(g * step) == F.col(index) for g in (guess, guess + 1)]
+        return F.lit(True)
+    step = (n - 1) / F.lit(most - 1)
+    # it is if some i of 0 .. most - 1 rounds (half to even) to the index: i is about index / step
+    guess = F.floor(index / step)
+    near = [F.bround(g * step) == index for g in (guess, guess + 1)]
     inside = [g <= most - 1 for g in (guess, guess + 1)]
-    return rows.where((F.col("_n") <= most) | (near[0] & inside[0]) | (near[1] & inside[1])).drop("_n")
+    return (n <= most) | (near[0] & inside[0]) | (near[1] & inside[1])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -26,14 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, but only if all of Spark runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="attestra-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and the rows survive lost executors."""
     spark = df.sparkSession
@@ -41,6 +47,7 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._attestra_path = path
+    _written[path] = spark
     return out
 
 
@@ -48,7 +55,31 @@ def discard(df: DataFrame) -> None:
     """Delete the files behind a materialized frame; only for frames that nothing reads any more."""
     path = getattr(df, "_attestra_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.pop(path, None)
+
+
+def discard_all() -> None:
+    """Delete the files of all materialized frames of this process: once their results are written. Also done when it ends."""
+    for path, spark in list(_written.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended, or its gateway is gone
+            _written.pop(path, None)
+
+
+atexit.register(discard_all)
+
+
+def in_order(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """df with the place of each row in the order, from 0. Rows are range-sorted and counted by partition, so no task sees more than its part."""
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_k", F.monotonically_increasing_id())
+    laid = materialize(laid.withColumns({"_p": F.shiftright("_k", 33), "_r": F.col("_k").bitwiseAND((1 << 33) - 1)}).drop("_k"))
+    sizes = laid.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    return laid.join(sizes.select("_p", before.alias("_b")), "_p").withColumn(name, F.col("_b") + F.col("_r")).drop("_p", "_r", "_b")
