@@ -69,11 +69,11 @@ def extraction_note(tables: Column, images: Column, pages: Column) -> Column:
     return F.when(said != "", F.concat(F.lit("Из документа извлечено — "), said, F.lit("."))).otherwise("")
 
 
-def document_ai(chunks: DataFrame, by: str, text: str, score: str, least: int = 100) -> DataFrame:
+def document_ai(chunks: DataFrame, by: str, text: str, score: str, least: int = 100, digits: int = 2) -> DataFrame:
     """(by, ai_percent): mean score of the chunks of more than `least` characters, zeros and nulls (as 0) included; 0 for documents without one."""
     long = F.length(F.trim(text)) > least
     mean = F.avg(F.when(long, F.coalesce(F.col(score), F.lit(0.0))))
-    return chunks.groupBy(by).agg(F.bround(F.coalesce(mean, F.lit(0.0)) * 100, 2).alias("ai_percent"))
+    return chunks.groupBy(by).agg(F.bround(F.coalesce(mean, F.lit(0.0)) * 100, digits).alias("ai_percent"))
 
 
 def match_rows(chunks: DataFrame) -> DataFrame:
@@ -105,15 +105,20 @@ def assembled(docs: DataFrame, chunks: DataFrame) -> DataFrame:
         F.round(F.round(F.greatest(100 - F.coalesce("lexical", F.lit(0.0)), F.lit(0.0)), 6), 1).alias("lexical_originality_percent"))
 
 
+def compared_verdict(similarity: Column) -> Column:
+    """What a comparison's mean similarity (0 to 1) says; null where a side was too short."""
+    out = F.when(similarity.isNull(), TOO_SHORT)
+    for least, text in COMPARED:
+        out = out.when(similarity >= least, text)
+    return out.otherwise(UNRELATED)
+
+
 def compared(held: DataFrame) -> DataFrame:
     """One row per pair from lexical similarity and percentages (null where a side has no segments), n chunks of a, those deep, and AI percentages of both."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    verdict = F.when(F.col("similarity").isNull(), TOO_SHORT)
-    for least, text in COMPARED:
-        verdict = verdict.when(F.col("similarity") >= least, text)
     deep = percent(F.coalesce("deep", F.lit(0)), F.coalesce("n", F.lit(0)))
     return held.withColumn("deep_borrow_percent", deep).select(
-        "pair", zero("similarity_percent").alias("similarity_percent"), zero("tfidf_percent").alias("tfidf_percent"), zero("bm25_percent").alias("bm25_percent"), verdict.otherwise(UNRELATED).alias("verdict"),
+        "pair", zero("similarity_percent").alias("similarity_percent"), zero("tfidf_percent").alias("tfidf_percent"), zero("bm25_percent").alias("bm25_percent"), compared_verdict(F.col("similarity")).alias("verdict"),
         F.coalesce("originality_percent", F.lit(100.0)).alias("originality_percent"), zero("similarity_percent").alias("copy_percent"), "deep_borrow_percent",
         F.bround(F.greatest(zero("similarity_percent"), "deep_borrow_percent"), 2).alias("plagiarism_percent"), F.bround((zero("ai_a") + zero("ai_b")) / 2, 2).alias("ai_percent"),
         ai_verdict(zero("ai_a")).alias("ai_verdict_a"), ai_verdict(zero("ai_b")).alias("ai_verdict_b"))
