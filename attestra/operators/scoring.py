@@ -96,9 +96,10 @@ def bigram_ai_scores(df: DataFrame, id: str, text: str) -> DataFrame:
     pairs = words.select(id, F.explode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("p"))
     pairs = pairs.groupBy(id, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("k"))
     counts = pairs.groupBy("a", "b").agg(F.sum("k").alias("n"))
-    ranks = counts.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).select("a", "b", "rank")
-    seen = pairs.join(ranks, ["a", "b"]).groupBy(id).agg(
-        (F.sum(F.when(F.col("rank") <= 50, F.col("k")).otherwise(0)) / F.sum("k")).alias("p"), (F.sum(F.when(F.col("rank") > 1000, F.col("k")).otherwise(0)) / F.sum("k")).alias("m"))
+    # only the first 1000 of a word's followers are ranked: the others are cut off by each task before a word's followers meet in one
+    ranks = counts.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("rank <= 1000").select("a", "b", "rank")
+    seen = pairs.join(ranks, ["a", "b"], "left").groupBy(id).agg(
+        (F.sum(F.when(F.col("rank") <= 50, F.col("k")).otherwise(0)) / F.sum("k")).alias("p"), (F.sum(F.when(F.col("rank").isNull(), F.col("k")).otherwise(0)) / F.sum("k")).alias("m"))
     sizes = base.select(id, F.octet_length("t").alias("size"), deflated("t").alias("packed"))
     score = F.when(F.col("p").isNotNull(), ai_score(F.col("p"), F.col("m"), F.col("size"), F.col("packed"))).otherwise(0.0)
     return sizes.join(seen, id, "left").select(id, score.alias("ai_score"))

@@ -562,7 +562,46 @@ def chunk_documents(spark, d):
     return chunking.chunk_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+_SERVICE = " OR ".join(f"starts_with({{0}}, '{h}')" for h in front_matter.SERVICE)
+_TITLED = " OR ".join(f"contains({{0}}, '{t}')" for t in front_matter.TITLE)
+_NOISE_SQL = f"({{0}} = '' OR regexp_matches({{0}}, '(?i)^---{_WS}*Страница{_WS}+[0-9]+{_WS}*---$') OR regexp_matches({{0}}, '(?i)^\\[Таблица{_WS}+[0-9]+\\]'))"
+_CONTENTS_SQL = f"(regexp_matches({{0}}, '\\t[0-9]+$') OR (regexp_matches({{0}}, '{_WS}\\p{{{{Nd}}}}+$') AND length({_strip_sql("regexp_replace({0}, '\\p{{Nd}}+$', '')")}) > 2))".replace("{{{{Nd}}}}", "{{Nd}}")
+_PLAIN_SQL = f"lower(regexp_replace({{0}}, '{_WS}+', ' ', 'g'))"
+
+
+def _of(sql: str, c: str) -> str:
+    return sql.replace("{0}", c).replace("{{", "{").replace("}}", "}")
+
+
+#: The same by relations: paragraphs, their lines in order, windows over the lines, and the kept paragraphs put together.
+_FRONT_MATTER_SQL = f"""WITH t AS (SELECT doc_id, text, {_strip_sql("coalesce(text, '')")} AS w FROM documents),
+ parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(w, '\\n{_WS}*\\n', chr(1), 'g'), chr(1)), lambda x: {_strip_sql('x')}), lambda x: x <> '') AS p FROM t),
+ one AS (SELECT doc_id, list_filter(list_transform(string_split(p[1], chr(10)), lambda x: {_strip_sql('x')}), lambda x: x <> '') AS l FROM parts WHERE len(p) = 1),
+ cut AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS x FROM one WHERE len(l) >= 8),
+ headed AS (SELECT *, i = 0 OR regexp_matches({_of(_PLAIN_SQL, 'x')}, '^(реферат|аннотация|содержание|оглавление|задание|введение|перечень условных|перечень сокращений|1(\\.{_WS}+|{_WS}+)[^{_WS[1:-1]}])')
+   OR {_of(_NOISE_SQL, 'x')} OR {_of(_CONTENTS_SQL, 'x')} OR (length(x) < 120 AND ({_of(_TITLED, 'lower(x)')})) AS head FROM cut),
+ grouped AS (SELECT doc_id, i, x, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM headed),
+ para AS (SELECT doc_id, k, string_agg(x, chr(10) ORDER BY i) AS p FROM grouped GROUP BY ALL
+   UNION ALL SELECT doc_id, unnest(range(len(p))), unnest(p) FROM parts WHERE doc_id NOT IN (SELECT doc_id FROM cut)),
+ raw AS (SELECT doc_id, k, unnest(range(len(string_split(p, chr(10))))) AS r, unnest(string_split(p, chr(10))) AS x FROM para),
+ clean AS (SELECT doc_id, k, r, x, {_strip_sql('x')} AS s FROM raw WHERE NOT {_of(_NOISE_SQL, _strip_sql('x'))}),
+ line AS (SELECT doc_id, k, r, s, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY doc_id, k) AS n, {_of(_PLAIN_SQL, 's')} AS plain, {_of(_CONTENTS_SQL, 's')} AS contents,
+   regexp_matches(s, '^1\\.?{_WS}+[^0-9]') AS chapter, lead(s) OVER w AS after, sum(length(s) + 1) OVER (PARTITION BY doc_id, k ORDER BY r DESC) - 1 AS below FROM clean WINDOW w AS (PARTITION BY doc_id, k ORDER BY r)),
+ under AS (SELECT *, min(CASE WHEN chapter AND NOT contents THEN i END) OVER (PARTITION BY doc_id, k ORDER BY i DESC) AS j,
+   CASE WHEN i = n - 1 THEN length(s) >= 50 ELSE length(after) >= 30 OR below >= 100 END AS enough FROM line),
+ opening AS (SELECT a.doc_id, a.k, a.i, a.plain = 'введение' AS intro, a.s FROM under a LEFT JOIN under b ON b.doc_id = a.doc_id AND b.k = a.k AND b.i = a.j
+   WHERE (a.plain = 'введение' AND (a.i = a.n - 1 OR length(a.after) >= 40)) OR (a.chapter AND coalesce(b.enough, false))),
+ start AS (SELECT doc_id, k, i, CASE WHEN intro THEN 'Введение' ELSE substr(s, 1, 60) END AS marker FROM opening QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k, i) = 1),
+ shown AS (SELECT doc_id, k, bool_or(i = 0 AND ({_of(_SERVICE, 'plain')})) OR count(*) FILTER (contents) >= 2 OR bool_or(false) AS dropped, lower(string_agg(s, ' ' ORDER BY i) FILTER (i < 6)) AS sample FROM line GROUP BY ALL),
+ prose AS (SELECT c.doc_id, c.k, {_strip_sql("string_agg(c.x, chr(10) ORDER BY c.r)")} AS b FROM clean c JOIN start USING (doc_id) JOIN shown s ON s.doc_id = c.doc_id AND s.k = c.k
+   WHERE c.k > start.k AND NOT s.dropped AND NOT ({_of(_TITLED, 's.sample')}) GROUP BY ALL),
+ kept AS (SELECT line.doc_id, line.k, string_agg(s, chr(10) ORDER BY line.i) AS b FROM line JOIN start ON start.doc_id = line.doc_id AND start.k = line.k AND line.i >= start.i GROUP BY ALL UNION ALL SELECT * FROM prose),
+ body AS (SELECT doc_id, {_strip_sql("string_agg(b, chr(10) || chr(10) ORDER BY k)")} AS b FROM kept GROUP BY 1)
+SELECT t.doc_id, CASE WHEN length(b) >= {front_matter.LEAST_BODY} THEN b ELSE text END AS body, CASE WHEN length(b) >= {front_matter.LEAST_BODY} THEN length(text) - length(b) ELSE 0 END::INT AS removed_chars,
+ CASE WHEN length(b) >= {front_matter.LEAST_BODY} THEN marker ELSE '' END AS body_start_marker FROM t LEFT JOIN body USING (doc_id) LEFT JOIN start USING (doc_id)"""
+
+
+@query(_FRONT_MATTER_SQL)
 def strip_front_matter(spark, d):
     return front_matter.without_front_matter(table(spark, d, "documents"), "doc_id", "text")
 
