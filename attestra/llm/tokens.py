@@ -35,7 +35,7 @@ def counter(path: str):
     def count(text: str | None) -> int:
         if not text:
             return 0
-        if "  " in text:  # runs of blanks are one cut: count such texts line by line where lines begin with a letter
+        if "  " in text:  # runs of blanks are one cut: such texts are counted whole
             return len(enc.encode_ordinary(text))
         if len(known) > REMEMBERED:
             known.clear()
