@@ -58,6 +58,15 @@ def test_compare(spark):
     assert got[3]["deep_borrow_percent"] == 100 and got[3]["plagiarism_percent"] == 100
 
 
+def test_recognize(spark):
+    texts = spark.createDataFrame([(1, TEXT), (2, None), (3, "...")], "doc long, text string")
+    got = {(r["doc"], r["segment_index"]): r for r in pipeline.recognize(texts, corpus(spark, SOURCES)).collect()}
+    assert set(got) == {(1, 0), (1, 1), (3, 0)}
+    assert got[1, 0]["source"] == 0 and got[1, 0]["tfidf_score"] > 0.5 and got[1, 1]["combined_score"] == 0 == got[3, 0]["source"]
+    none = pipeline.recognize(texts, corpus(spark, SOURCES).where("source > 9")).collect()
+    assert len(none) == 3 and all(r["source"] is None and r["combined_score"] == 0 for r in none)
+
+
 def test_rerank_takes_the_first_of_equals(spark):
     rows = [(1, "a b c", "a b", 1), (1, "a b c", "a b c", 2), (1, "a b c", "c b a", 3), (2, "x", None, 1)]
     df = spark.createDataFrame(rows, "k int, q string, c string, rank int")

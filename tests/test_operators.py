@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestra.operators import scoring
 from attestra.operators.front_matter import note, without_front_matter
 from attestra.operators.vectors import at_least, cosine, exists_above, top_k
-from attestra.sources.files import decode_text, read_file, read_uploads, table_text
+from attestra.sources.files import decode_text, image_size, read_file, read_uploads, table_text
 from attestra.sources.sinks import replace_partitions, upserted
 from attestra.streaming.runner import on_batches, windowed_counts
 
@@ -104,7 +104,8 @@ def test_files(spark, tmp_path):
     assert decode_text("Привет".encode("cp1251")) == "Привет" and decode_text(b"\x98") == "\x98" and decode_text(" Привет\n".encode()) == "Привет"
     assert decode_text("﻿x".encode()) == "﻿x"
     assert table_text([["a\nb", ""], ["", ""], ["c", "d"]]) == "a b\nc | d"
-    assert read_file("x.exe", b"")[3] == "unsupported format" and read_file("x.docx", b"no")[3].startswith("unreadable") and read_file("x.txt", b" ")[3] == "empty text"
+    assert read_file("x.exe", b"").error == "unsupported format" and read_file("x.docx", b"no").error.startswith("unreadable") and read_file("x.txt", b" ").error == "empty text"
+    assert read_file("x.txt", b"x" * (10 * 1024 * 1024 + 1)).error == "too large" and read_file("x.pdf", b"%PDF").error
     docx(tmp_path / "a.docx")
     (tmp_path / "b.md").write_text("Text")
     (tmp_path / "c.pdf").write_bytes(b"%PDF")
@@ -113,6 +114,35 @@ def test_files(spark, tmp_path):
     assert got["b.md"]["text"] == "Text" and got["b.md"]["error"] == "" and got["c.pdf"]["error"]
 
 
+def picture(width, height):
+    return b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + width.to_bytes(4, "big") + height.to_bytes(4, "big")
+
+
+def test_images_and_pages_through_given_readers(spark, tmp_path):
+    assert image_size(picture(90, 81)) == (90, 81) and image_size(b"?") is None and image_size(b"GIF89a\x05\x00\x07\x00") == (5, 7)
+    assert image_size(b"\xff\xd8\xff\xe0\x00\x04\x00\x00\xff\xc0\x00\x11\x08\x00\x20\x00\x30") == (48, 32)
+    docx(tmp_path / "a.docx")
+    with zipfile.ZipFile(tmp_path / "a.docx", "a") as z:
+        z.writestr("word/media/image1.png", picture(200, 100))
+        z.writestr("word/media/image2.png", picture(200, 79))
+        z.writestr("word/media/image3.png", b"broken")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+
+    def ocr(raw):
+        if raw == b"broken":
+            raise ValueError
+        return [" seen ", "", "there"]
+
+    def pdf(raw):
+        return [("One", [[["a", "b"]], [["c"]]], None), ("", [], picture(500, 500)), (" ", [], picture(100, 500)), ("Four", [], None)]
+
+    got = {r["path"].rsplit("/", 1)[1]: r for r in read_uploads(spark, str(tmp_path), pdf, ocr).collect()}
+    a, c = got["a.docx"], got["c.pdf"]
+    assert a["text"].endswith("Last\n\nseen\nthere") and (a["images_ocr"], a["tables"], a["ocr_available"]) == (1, 1, True)
+    assert c["text"] == "--- Страница 1 ---\nOne\n\n[Таблица 1]\na | b\n\n[Таблица 2]\nc\n\n--- Страница 2 ---\nseen\nthere\n\n--- Страница 4 ---\nFour"
+    assert (c["pages"], c["tables"], c["images_ocr"], c["error"]) == (4, 2, 1, "")
+
+
 def test_sinks_are_idempotent(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "d long, x string")
     for _ in range(2):
