@@ -196,6 +196,7 @@ class _Block:
         parts = [q.encode(self.x[a : a + 2048], self.cells[cell[a : a + 2048]]) for a in range(0, len(x), 2048)]
         self.codes, self.half = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         self.books = q.books.reshape(-1, x.shape[1])
+        self.single = len(q.dealt) == 1
         size = np.bincount(cell, minlength=k)
         self.edge = np.r_[0, np.cumsum(size)]
         self.norm = (self.cells * self.cells).sum(1) / 2
@@ -224,8 +225,8 @@ class _Block:
         own = self.codes[pick]
         for m in range(BOOKS):
             score += tables[m].take(own[:, m], axis=0)
-        # the best few by codes are ranked by their true cosines, at least 8 k; where there are few, all
-        rank = len(pick) if len(pick) <= 256 else max(40, 8 * k)
+        # the best few by codes are ranked by their true cosines, at least 8 k; where there is one block, of 800 vectors at most, all
+        rank = len(pick) if self.single or len(pick) <= 40 else min(len(pick), max(40, 8 * k))
         score = np.ascontiguousarray(score.T)
         best = np.argpartition(score, len(pick) - rank, axis=1)[:, len(pick) - rank :]
         c, w = pick[best].ravel(), np.repeat(np.arange(len(some)), rank)

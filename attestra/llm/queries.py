@@ -216,6 +216,11 @@ P1_COVERAGE_SQL = P1_SQL + """, held AS (SELECT h FROM grams GROUP BY h HAVING c
 SELECT rec, coalesce(length(text), 0) AS n_chars, coalesce(s, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(s, 0) / length(text) ELSE 0.0 END AS shared_share
 FROM recs LEFT JOIN shared USING (rec)
 """
+P1_SPANS_SQL = P1_SQL + """, held AS (SELECT h FROM grams GROUP BY h HAVING count(DISTINCT rec) > 1),
+ starts AS (SELECT rec, i, CASE WHEN i - lag(i) OVER (PARTITION BY rec ORDER BY i) <= 300 THEN 0 ELSE 1 END AS new FROM grams JOIN held USING (h)),
+ runs AS (SELECT rec, i, sum(new) OVER (PARTITION BY rec ORDER BY i) AS run FROM starts)
+SELECT rec, (min(i) - 1)::INT AS start, (max(i) - min(i) + 300)::INT AS n_chars FROM runs GROUP BY rec, run
+"""
 P3_SQL = """
 WITH held AS (SELECT doc_id, segment_index, max(tfidf_score) AS a, max(bm25_score) AS b FROM segment_matches WHERE doc_id IS NOT NULL AND segment_index IS NOT NULL GROUP BY 1, 2),
  more AS (SELECT doc_id, chunk_index AS segment_index, max(semantic_score) AS c, max(rerank_score) AS d FROM chunk_analyses GROUP BY 1, 2),
@@ -235,14 +240,20 @@ WITH RECURSIVE links AS (SELECT source_document_id AS a, target_document_id AS b
 SELECT doc_id, min(other) AS group_id FROM reach GROUP BY doc_id
 """
 
-P2_CLASSES_SQL = r"""
+#: Vectors that take part, of unit length.
+P2_SQL = r"""
 WITH parsed AS (SELECT id, try_cast(try_cast(embedding_json AS JSON) AS DOUBLE[]) AS v, try_cast(embedding_json AS JSON) AS j FROM corpus_chunks WHERE embedding_json IS NOT NULL),
  usable AS (SELECT id, v FROM parsed WHERE json_type(j) = 'ARRAY' AND len(v) = 64 AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x)))
    AND list_bool_or(list_transform(v, lambda x: x <> 0)) AND list_bool_and(list_transform(json_extract(j, '$[*]'), lambda x: json_type(x) IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT')))),
  scaled AS (SELECT id, list_transform(v, lambda x: x / list_max(list_transform(v, lambda y: abs(y)))) AS v FROM usable),
- unit AS (SELECT id, list_transform(v, lambda x: (x / sqrt(list_inner_product(v, v)))::FLOAT) AS u FROM scaled)
-SELECT id AS chunk_id, min(id) OVER (PARTITION BY u) AS class_id FROM unit
+ unit AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM scaled)
+"""
+#: All pairs: for tables of a size where that many are no trouble.
+P2_FOUND_SQL = P2_SQL + """, cos AS (SELECT a.id AS q, b.id AS c, list_inner_product(a.u, b.u) AS s FROM unit a JOIN unit b ON a.id <> b.id),
+ fifth AS (SELECT q, min(s) AS f FROM (SELECT q, s FROM cos QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC) <= 5) GROUP BY q)
+SELECT DISTINCT least(q, c) AS chunk_a, greatest(q, c) AS chunk_b FROM cos JOIN fifth USING (q) WHERE s >= f - 1e-6
 """
+P2_CLASSES_SQL = P2_SQL + "SELECT id AS chunk_id, min(id) OVER (PARTITION BY list_transform(u, lambda x: x::FLOAT)) AS class_id FROM unit"
 P8_CHECKS_SQL = """
 SELECT capacity_id, (SELECT count(*) FROM documents WHERE length(text) > 0) AS documents, 0 AS miscut, 0 AS misfilled, 0 AS misreported FROM pack_capacities
 """
@@ -264,10 +275,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL + "SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM grams a JOIN grams b ON a.h = b.h AND a.rec < b.rec",
+        "p1_spans": P1_SPANS_SQL,
         "p1_coverage": P1_COVERAGE_SQL,
         "p3_ranking": P3_SQL + "SELECT * FROM net",
         "p3_found": P3_SQL + "SELECT doc_id, arg_max(segment_index, (net_flow, -segment_index)) AS segment_index FROM net GROUP BY doc_id HAVING count(*) >= 3",
         "p4_found": P4_SQL,
+        "p2_found": P2_FOUND_SQL,
         "p2_classes": P2_CLASSES_SQL,
         "p8_checks": P8_CHECKS_SQL,
         "p9_checks": "SELECT source, target_share, true AS share_met, true AS repeats_kept FROM mix_targets",
