@@ -70,6 +70,7 @@ def test_against_dense_scores_with_nulls_ties_and_no_terms(spark):
     corpus += corpus[:3] + [None, "—"]
     q, c = frames(spark, [(0, i, t) for i, t in enumerate(queries)], [(0, i, t) for i, t in enumerate(corpus)])
     got = {r["q"]: (r["c"], r["combined_score"]) for r in best_matches(q, c).collect()}
+    assert {r["q"]: (r["c"], r["combined_score"]) for r in best_matches(q, c, prune=False).collect()} == got
     for i, (j, s) in enumerate(dense(queries, corpus)):
         assert got[i] == (j, pytest.approx(s, abs=6e-5)), i
     none = best_matches(q, c.where("c < 0")).collect()
