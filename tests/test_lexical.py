@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from attestra.operators import lexical
 from attestra.operators.lexical import best_matches, compare, hybrid_scores, originality
 
 TEXT = ["Искусственный интеллект меняет подход к анализу текстов.", "Современные системы проверяют оригинальность на нескольких уровнях.", "Лексический анализ выявляет прямое копирование фрагментов."]
@@ -76,3 +77,21 @@ def test_against_dense_scores_with_nulls_ties_and_no_terms(spark):
     none = best_matches(q, c.where("c < 0")).collect()
     assert len(none) == len(queries) and all(r["c"] is None and r["combined_score"] == 0 for r in none)
     assert best_matches(q.where("q < 0"), c).count() == 0
+
+
+def test_one_comparison_writes_no_pairs_in_any_number_of_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{min(i, rng.randrange(300))}" for i in range(300)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 12)))
+    queries, corpus = [text() for _ in range(60)] + ["", None], [text() for _ in range(90)]
+    corpus += corpus[:9]
+    q, c = frames(spark, [(0, i, t) for i, t in enumerate(queries)], [(0, i, t) for i, t in enumerate(corpus)])
+    whole = {r["q"]: tuple(r) for r in best_matches(q, c, prune=False).collect()}
+
+    def joined(*_):
+        raise AssertionError("pairs are joined")
+
+    monkeypatch.setattr(lexical, "_meet", joined)
+    for terms in (lexical.PASS_TERMS, 100):
+        monkeypatch.setattr(lexical, "PASS_TERMS", terms)
+        assert {r["q"]: tuple(r) for r in best_matches(q, c).collect()} == whole
