@@ -19,3 +19,7 @@ def tables(spark, tmp_path_factory):
 
 def test_every_document_is_searched(spark, tables):
     assert {(r["doc_id"], r["seg_index"]) for r in catalog.hybrid_best_match(spark, tables).collect()} == {(i, k) for i in (3, 50, 77, 101) for k in (0, 1)}
+
+
+def test_every_document_has_an_originality(spark, tables):
+    assert {(r["doc_id"], r["total_segments"]) for r in catalog.lexical_originality(spark, tables).collect()} == {(i, 2) for i in (3, 50, 77, 101)}
