@@ -1,5 +1,6 @@
 import pytest
 
+from attestra.operators import pipeline
 from attestra.plans import catalog
 
 WORDS = "море ветер птица корабль берег остров книга город дорога песня лес поле".split()
@@ -23,3 +24,11 @@ def test_every_document_is_searched(spark, tables):
 
 def test_every_document_has_an_originality(spark, tables):
     assert {(r["doc_id"], r["total_segments"]) for r in catalog.lexical_originality(spark, tables).collect()} == {(i, 2) for i in (3, 50, 77, 101)}
+
+
+def test_every_document_is_analyzed_against_the_whole_corpus(spark, tables, monkeypatch):
+    seen = {}
+    meet = pipeline.semantic_candidates
+    monkeypatch.setattr(pipeline, "semantic_candidates", lambda chunks, corpus, *x: seen.setdefault("n", corpus.count()) and meet(chunks, corpus, *x))
+    assert {r["doc"] for r in catalog.analyze_documents(spark, tables).collect()} == {3, 50, 77, 101}
+    assert seen["n"] == 79  # a chunk a source, more than an analysis takes of one text
