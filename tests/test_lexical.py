@@ -3,9 +3,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from attestra.operators import lexical
+from attestra.operators import lexical, lexical_index
 from attestra.operators.lexical import best_matches, compare, hybrid_scores, originality
 
 TEXT = ["Искусственный интеллект меняет подход к анализу текстов.", "Современные системы проверяют оригинальность на нескольких уровнях.", "Лексический анализ выявляет прямое копирование фрагментов."]
@@ -95,3 +96,45 @@ def test_one_comparison_writes_no_pairs_in_any_number_of_passes(spark, monkeypat
     for terms in (lexical.PASS_TERMS, 100):
         monkeypatch.setattr(lexical, "PASS_TERMS", terms)
         assert {r["q"]: tuple(r) for r in best_matches(q, c).collect()} == whole
+
+
+def test_the_side_with_fewer_terms_is_sent(spark, monkeypatch):
+    rng = random.Random(7)
+    text = lambda: " ".join(f"w{rng.randrange(40)}" for _ in range(6))
+    q, c = frames(spark, [(0, i, text()) for i in range(80)], [(0, i, text()) for i in range(9)])
+    whole = {r["q"]: tuple(r) for r in best_matches(q, c, prune=False).collect()}
+    searched = []
+    write = lexical.materialize
+    monkeypatch.setattr(lexical, "materialize", lambda df: (searched.append(df.columns), write(df))[1])
+    monkeypatch.setattr(lexical, "PASS_TERMS", 60)  # the corpus' 9 units fit in one pass, the queries wouldn't
+    assert {r["q"]: tuple(r) for r in best_matches(q, c).collect()} == whole
+    assert searched.count(["q", "c", "tfidf", "raw"]) == 1
+
+
+@pytest.mark.parametrize("longest", [12, 4000])
+def test_rounded_sums_lose_no_best_unit(longest):
+    rng = np.random.default_rng(longest)
+    words, n = 300, 250
+
+    def counts(rows, most):
+        return [np.unique(rng.integers(0, words, rng.integers(1, most)) ** 2 // words, return_counts=True) for _ in range(rows)]
+
+    def units(held, terms):
+        return lexical_index.Units(np.arange(len(held)), np.array([len(t) for t, _ in held]), np.concatenate([t for t, _ in held]), np.concatenate([f for _, f in held]), terms)
+
+    cs, qs = counts(n, 30), counts(40, longest)
+    df = np.bincount(np.concatenate([t for t, _ in cs]), minlength=words)
+    terms = lexical_index.Terms(np.arange(words), np.log((1 + n) / (1 + df)) + 1, np.where(df > 0, np.maximum(np.log(n - df + 0.5) - np.log(df + 0.5), 0.2), 0), 15.0)
+    corpus, asked = units(cs, terms), units(qs, terms)
+    cosine, sums, gain = np.zeros((40, n)), np.zeros((40, n)), corpus.gains(terms)
+    for i in range(40):
+        w, f = np.zeros((2, words))
+        at = slice(asked.at[i], asked.at[i + 1])
+        w[asked.term[at]], f[asked.term[at]] = asked.w[at], asked.f[at]
+        cosine[i], sums[i] = np.bincount(corpus.row, w[corpus.term] * corpus.w, n), np.bincount(corpus.row, f[corpus.term] * gain, n)
+    got = {int(q): (c, x, y) for q, c, x, y in lexical_index.search(lexical_index.Block(corpus, terms), asked, words, (0.6, 0.4))}
+    for i in np.flatnonzero(sums.max(1) > 0).tolist():
+        c, x, y = got[i]
+        assert y.max() == pytest.approx(sums[i].max())
+        for top in (sums[i].max(), 3 * sums[i].max()):  # with the largest sum here, and a larger one elsewhere
+            assert (0.6 * x + 0.4 * y / top).max() == pytest.approx((0.6 * cosine[i] + 0.4 * sums[i] / top).max())
