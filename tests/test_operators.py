@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import scoring
+from attestra.operators import scoring, vectors
 from attestra.operators.front_matter import note, without_front_matter
 from attestra.operators.vectors import at_least, cosine, exists_above, top_k
 from attestra.sources.files import decode_text, image_size, read_file, read_uploads, table_text
@@ -174,3 +174,8 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "hybrid_best_match" in e.queries()
+
+
+def test_a_further_row_must_reach_a_querys_kth_best():
+    found = tuple(map(np.array, ([4, 4, 7, 9, 9, 9], [1, 2, 3, 4, 5, 6], [0.9, 0.5, 0.8, 0.7, 0.6, 0.6])))
+    assert vectors._least(found, np.array([9, 4, 7, 5]), 2).tolist() == [0.6 - 1e-9, 0.5 - 1e-9, -np.inf, -np.inf]
