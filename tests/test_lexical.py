@@ -138,3 +138,17 @@ def test_rounded_sums_lose_no_best_unit(longest):
         assert y.max() == pytest.approx(sums[i].max())
         for top in (sums[i].max(), 3 * sums[i].max()):  # with the largest sum here, and a larger one elsewhere
             assert (0.6 * x + 0.4 * y / top).max() == pytest.approx((0.6 * cosine[i] + 0.4 * sums[i] / top).max())
+
+
+def test_what_a_query_has_several_times_is_rounded_once(monkeypatch):
+    terms = lexical_index.Terms(np.arange(3), np.array([1.0, 2.0, 3.0]), np.array([0.5, 1.0, 1.5]), 2.0)
+    held = [([0, 1], [1, 2]), ([1, 2], [1, 1]), ([2], [4])]
+    make = lambda rows: lexical_index.Units(np.arange(len(rows)), np.array([len(t) for t, _ in rows]), np.concatenate([t for t, _ in rows]), np.concatenate([f for _, f in rows]), terms)
+    block = lexical_index.Block(make(held), terms)
+    asked = make([([0, 1], [1, 3]), ([1, 2], [3, 9]), ([1], [3])])
+    first = [[x.tolist() for x in found[1:]] for found in lexical_index.search(block, asked, 3, (0.6, 0.4))]
+    assert set(block.kept) == {(1, 3)}  # nine times is not kept
+    rint = np.rint
+    monkeypatch.setattr(np, "rint", lambda x: (_ for _ in ()).throw(AssertionError("rounded again")) if len(x) == 2 else rint(x))
+    again = make([([0, 1], [1, 3]), ([1], [3])])
+    assert [[x.tolist() for x in found[1:]] for found in lexical_index.search(block, again, 3, (0.6, 0.4))] == [first[0], first[2]]
