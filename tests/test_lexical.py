@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attestra.operators import lexical, lexical_index
@@ -152,3 +153,21 @@ def test_what_a_query_has_several_times_is_rounded_once(monkeypatch):
     monkeypatch.setattr(np, "rint", lambda x: (_ for _ in ()).throw(AssertionError("rounded again")) if len(x) == 2 else rint(x))
     again = make([([0, 1], [1, 3]), ([1], [3])])
     assert [[x.tolist() for x in found[1:]] for found in lexical_index.search(block, again, 3, (0.6, 0.4))] == [first[0], first[2]]
+
+
+def test_units_that_lie_evenly_are_not_dealt_again(spark, monkeypatch):
+    text = lambda i: " ".join(f"w{(i * k) % 37}" for k in range(1, 9))
+    plans, write = [], lexical.materialize
+    monkeypatch.setattr(lexical, "materialize", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if "terms" in df.columns else None, write(df))[1])
+    rows = [(0, i, text(i)) for i in range(120)]
+    q, c = frames(spark, rows[:40], rows)
+    got = {r["q"]: tuple(r) for r in best_matches(q, c).collect()}
+    assert len(plans) == 2 and not any("Repartition" in p for p in plans)
+    plans.clear()
+    assert {r["q"]: tuple(r) for r in best_matches(q.coalesce(1), c.coalesce(1)).collect()} == got
+    assert all("Repartition" in p for p in plans)  # one task had them all
+
+
+def test_blocks_hold_so_many_units():
+    batches = pa.table({"c": list(range(25))}).to_batches(max_chunksize=7)
+    assert [b.column(0).to_pylist() for b in lexical._blocks(iter(batches), 10)] == [list(range(10)), list(range(10, 20)), list(range(20, 25))]

@@ -1,7 +1,7 @@
 import pytest
 
-from attestra.operators import pipeline
-from attestra.plans import catalog
+from attestra.operators import lexical, pipeline
+from attestra.plans import catalog, runtime
 
 WORDS = "море ветер птица корабль берег остров книга город дорога песня лес поле".split()
 
@@ -32,3 +32,43 @@ def test_every_document_is_analyzed_against_the_whole_corpus(spark, tables, monk
     monkeypatch.setattr(pipeline, "semantic_candidates", lambda chunks, corpus, *x: seen.setdefault("n", corpus.count()) and meet(chunks, corpus, *x))
     assert {r["doc"] for r in catalog.analyze_documents(spark, tables).collect()} == {3, 50, 77, 101}
     assert seen["n"] == 79  # a chunk a source, more than an analysis takes of one text
+
+
+@pytest.fixture(scope="module")
+def chunked(spark, tables):
+    rows = [(i, i // 2, i % 2, sentence(i) + " " + sentence(i + 3)) for i in range(100, 420)]
+    spark.createDataFrame(rows, "id long, source_id long, chunk_index int, content string").write.parquet(f"{tables}/corpus_chunks.parquet")
+    return tables
+
+
+def test_an_analysis_neither_writes_nor_shuffles_the_texts_it_compares_with(spark, chunked, monkeypatch):
+    written, write = [], runtime.materialize
+
+    def kept(df):
+        written.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()))
+        return write(df)
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for m in (pipeline, lexical, catalog):
+        monkeypatch.setattr(m, "materialize", kept)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as where tables are large
+        few = {tuple(r) for r in catalog.analyze_chunks(spark, chunked).collect()}
+        assert not any({"segment", "label", "text"} <= set(columns) for columns, *_ in written)
+        found = next(plan for columns, _, plan in written if {"rank", "score", "content"} <= set(columns))
+        assert "BroadcastHashJoin" in found and "SortMergeJoin" not in found
+        written.clear()
+        monkeypatch.setattr(runtime, "SENT_ROWS", 0)  # many: both sides are shuffled, with the same result
+        assert {tuple(r) for r in catalog.analyze_chunks(spark, chunked).collect()} == few and len(few) == 8
+        assert "SortMergeJoin" in next(plan for columns, _, plan in written if {"rank", "score", "content"} <= set(columns))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_only_found_sources_are_cut_again(spark, chunked):
+    segments = catalog.segment_documents(spark, chunked).selectExpr("doc_id source", "seg_index segment", "'' label", "segment text")
+    lex = runtime.materialize(spark.createDataFrame([(1, 50_000_001), (2, 77_000_000)], "q long, c long"))
+    got = pipeline._named(lex, segments)
+    assert {(r["q"], r["copy_text"]) for r in got.collect()} == {(1, sentence(51)), (2, sentence(77))}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("LeftSemi")  # documents are left out before their texts are cut
